@@ -192,10 +192,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, **options) -> DataFrame:
     """``docs`` as often as the mix takes them: whole copies, and the last one cut to the
     words that are left, joined by blanks. Rows equal in id, text and source share their words evenly; a
-    document that isn't taken goes."""
+    document that isn't taken goes. ``length_col`` names a column that holds the texts' length
+    and follows them."""
     rows, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     share = rows.groupBy("_id", "_src", "_h").agg(F.first("size").alias("_size"), F.expr("cast(ceil(sum(taken) / count(*)) AS BIGINT)").alias("_taken")).where("_taken > 0")
     keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
@@ -203,7 +204,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     copies = both.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     cut = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_taken - (_copy - 1) * _size AS INT)), ' ')")
-    return copies.withColumn(text_col, F.when(left >= F.col("_size"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    out = copies.withColumn(text_col, F.when(left >= F.col("_size"), F.col(text_col)).otherwise(cut))
+    if length_col:
+        out = out.withColumn(length_col, F.when(left >= F.col("_size"), F.col(length_col)).otherwise(F.length(text_col).cast("long")))
+    return out.select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

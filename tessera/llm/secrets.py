@@ -124,8 +124,9 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", ratios: list[float] | None = None) -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; texts without spans stay as they are."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", ratios: list[float] | None = None, length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by ``mark``; texts without spans stay as they are.
+    ``length_col`` names a column that holds the texts' length and follows them."""
     ratios = ratios or train(docs, id_col, text_col)
     found = scan(docs, ratios, text_col)
     clean = F.expr(f"""aggregate(_all, named_struct('at', 0, 'out', cast(array() AS ARRAY<STRING>)),
@@ -133,7 +134,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
           named_struct('at', z.end, 'out', concat(s.out, array(substr(`{text_col}`, s.at + 1, z.start - s.at), '{mark}'))),
           named_struct('at', greatest(s.at, z.end), 'out', s.out)),
         s -> array_join(concat(s.out, array(substr(`{text_col}`, s.at + 1))), ''))""")
-    return found.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    out = found.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(F.col(text_col)))
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.size("_all") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
