@@ -5,12 +5,14 @@
    groups, each with the components that its group has so far. A member takes over its
    leader's answers, so pairs inside a component are never looked at again.
 3. Index level: prefix tokens (rare ones first) that two or more sets hold give index lists.
-   A list is sorted by set size and position; for each size block the position filter gives
-   the one place up to which entries can match, and the rest of the block is skipped.
-   Entries of the same component are skipped too. What remains is verified on whole sets.
-
-The prefix filter loses no pair for any order of tokens, so the links found connect exactly
-the sets that chains of links with a similarity of ``percent`` or more connect.
+   A list is sorted by set size and position; in each size block only the band of positions
+   that a linked pair's common token can have is read, and the rest is skipped. Entries of
+   the same component are skipped too. Pairs with too few common prefix tokens go, and what
+   remains is verified on whole sets.
+
+A prefix leaves out the last ceil(t n) - l tokens of n, with l = 1 + n // 16: a linked pair has
+at least l of the smaller set's common tokens in both prefixes, whatever the order of
+tokens. So the links found connect exactly the sets that chains of links connect.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ FILTER_BITS = 22
 GROUP = 1500
 LIST = 2048
 HASHES = 2
+#: Groups of more than GROUP members that are split; beyond so many, a group is one task.
+HOT_MOST = 100_000
 #: Tokens that so many sets of one chunk hold are counted over all chunks and go last.
 HEAVY_IN_CHUNK = 8
 HEAVY_MOST = 100_000
@@ -63,20 +67,23 @@ def _signatures(width: int):
     return run
 
 
-def _filter(ids: DataFrame) -> bytes:
-    """Bits set at a hash of the ids; a fixed size, so false hits only grow with the input."""
-    at = ids.select(F.pmod(F.xxhash64("i"), F.lit(1 << FILTER_BITS)).cast("int").alias("at"))
-    words = at.select(F.expr("cast(at div 64 AS INT)").alias("w"), F.expr("shiftleft(1L, at % 64)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+def _filter(keys: DataFrame) -> bytes:
+    """Bits set at the places of hashed keys (h); a fixed size, so false hits only grow with the
+    input. At most 2^16 words reach the driver."""
+    words = keys.select(F.expr("cast(h div 64 AS INT)").alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in words:
         table[r["w"]] = r["b"]
     return table.tobytes()
 
 
+def _place(*columns) -> F.Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(i, s): the sets of the texts whose ids may be among ``ids``; the rest isn't shuffled."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids.select(_place("i").alias("h"))))
 
     def run(batches):
         import pyarrow as pa
@@ -91,8 +98,37 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             for part, texts in chunks(batch, "t"):
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["i", "s"])
 
-    hashed = docs.select("i", "t", F.pmod(F.xxhash64("i"), F.lit(1 << FILTER_BITS)).alias("h"))
-    return hashed.mapInArrow(run, "i long, s binary")
+    return docs.select("i", "t", _place("i").alias("h")).mapInArrow(run, "i long, s binary")
+
+
+def _grouped_sets(docs: DataFrame, keys: DataFrame, hot: dict, width: int) -> DataFrame:
+    """(g, part, i, s): the sets of the texts with a minimum hash among ``keys`` (v), once for
+    each; groups in ``hot`` are dealt over parts by the id."""
+    sc = docs.sparkSession.sparkContext
+    bits = sc.broadcast(_filter(keys.select(F.pmod("v", F.lit(1 << FILTER_BITS)).alias("h"))))
+    parts = sc.broadcast(hot)
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        from tessera.llm.shingles import min_hashes, shingle_sets
+
+        table = np.frombuffer(bits.value, np.int64)
+        for batch in batches:
+            for part, texts in chunks(batch, "t"):
+                sets = shingle_sets(texts, width)
+                out = []
+                for i, s, sig in zip(part.column("i").to_pylist(), sets, min_hashes(sets, HASHES)):
+                    for v in sig:
+                        h = v % (1 << FILTER_BITS)
+                        if (int(table[h // 64]) >> (h % 64)) & 1:
+                            n = parts.value.get(v, 1)
+                            out.append((v, xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True)) % n, i, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()),
+                                                  pa.array([x[3] for x in out], pa.binary())], names=["g", "part", "i", "s"])
+
+    return docs.mapInArrow(run, "g long, part int, i long, s binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -117,7 +153,11 @@ def _group_links(percent: int):
         sets = [np.frombuffer(b, np.uint64) for b in blobs]
         parts: list[list[int]] = []
         a, b = [], []
+        met: set = set()
         for k in order:
+            if blobs[k] in met:  # equal sets are one class
+                continue
+            met.add(blobs[k])
             joined = None
             for p in parts:
                 for m in p:
@@ -142,15 +182,15 @@ def _group_links(percent: int):
     return run
 
 
-def _round(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links among ``nodes`` (i, sig) with a minimum hash in common."""
-    keys = nodes.where(F.size("sig") > 0).select("i", F.posexplode("sig").alias("p", "v"))
-    many = keys.groupBy("p", "v").agg(F.count("*").alias("c")).where("c > 1")
-    wanted = keys.join(many, ["p", "v"]).select("i", F.xxhash64("p", "v").alias("g"), F.pmod(F.xxhash64("i"), F.expr(f"cast(ceil(c / {GROUP}) AS BIGINT)")).alias("part"))
-    wanted = checkpoint(wanted)
-    sets = _sets(docs, wanted.select("i").distinct(), width)
-    found = wanted.join(sets, "i").groupBy("g", "part").applyInArrow(_group_links(percent), "a long, b long")
-    return checkpoint(found)
+def _round(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links inside the groups of ``keys`` (v, c: members)."""
+    hot = {r["v"]: -(-r["c"] // GROUP) for r in keys.where(F.col("c") > GROUP).orderBy(F.desc("c"), "v").limit(HOT_MOST).collect()}
+    return checkpoint(_grouped_sets(docs, keys, hot, width).groupBy("g", "part").applyInArrow(_group_links(percent), "a long, b long"))
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(v, c) of the minimum hashes that two or more nodes have."""
+    return nodes.select(F.explode("sig").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
 
 
 def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
@@ -164,7 +204,7 @@ def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
         rank = np.array([heavy.value[int(np.int64(k.astype(np.int64)))] for k in keys], np.int64)
         for batch in batches:
             for part, texts in chunks(batch, "t"):
-                out_b, out_i, out_n, out_t, out_p = [], [], [], [], []
+                out_b, out_i, out_n, out_t = [], [], [], []
                 for i, s in zip(part.column("i").to_pylist(), shingle_sets(texts, width)):
                     if not len(s):
                         continue
@@ -173,23 +213,28 @@ def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
                         often = keys[at] == s
                         s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
                     n = len(s)
-                    pre = s[: n - (-(-percent * n // 100)) + 1]
-                    bucket = (pre % np.uint64(buckets)).astype(np.int64)
+                    pre = s[: n - (-(-percent * n // 100)) + least(n)]
+                    bucket = ((pre >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
                     sort = np.argsort(bucket, kind="stable")
                     cut = np.flatnonzero(np.diff(bucket[sort])) + 1
                     for where in np.split(sort, cut):
                         out_b.append(int(bucket[where[0]]))
                         out_i.append(i)
                         out_n.append(n)
-                        out_t.append(pre[where].astype(np.int64))
-                        out_p.append(where.astype(np.int32))
+                        # the token's upper 52 bits, and its place in 4096ths of the set
+                        out_t.append(((pre[where] & ~np.uint64(4095)) | (where * 4096 // n).astype(np.uint64)).astype(np.int64))
                 lists = lambda v, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32)), pa.array(np.concatenate(v) if v else np.zeros(0), t))
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_i, pa.int64()), pa.array(out_n, pa.int32()), lists(out_t, pa.int64()), lists(out_p, pa.int32())],
-                                                 names=["bucket", "i", "n", "tokens", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_i, pa.int64()), pa.array(out_n, pa.int32()), lists(out_t, pa.int64())],
+                                                 names=["bucket", "i", "n", "tokens"])
 
     return run
 
 
+def least(n: int) -> int:
+    """Common prefix tokens that a link with a set of ``n`` as the smaller one has at least."""
+    return 1 + n // 16
+
+
 def _shared_tokens(table):
     """Postings of the tokens that two or more rows of the bucket hold."""
     import pyarrow as pa
@@ -198,53 +243,57 @@ def _shared_tokens(table):
     tokens = table.column("tokens").combine_chunks()
     row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(tokens).to_numpy(zero_copy_only=False)
-    place = pc.list_flatten(table.column("places").combine_chunks()).to_numpy(zero_copy_only=False)
-    _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[where] > 1
-    ids = table.column("i").to_numpy()[row[keep]]
-    sizes = table.column("n").to_numpy()[row[keep]]
-    return pa.table({"w": pa.array(flat[keep], pa.int64()), "i": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "p": pa.array(place[keep], pa.int32())})
+    word = flat >> 12
+    order = np.argsort(word, kind="stable")
+    sorted_ = word[order]
+    edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, int)
+    count = np.diff(np.append(edge, len(sorted_)))
+    keep = order[np.repeat(count > 1, count)]
+    many = np.repeat(count, count)[np.repeat(count > 1, count)]
+    return pa.table({"w": pa.array(flat[keep] & ~np.int64(4095)), "i": pa.array(table.column("i").to_numpy()[row[keep]]),
+                     "n": pa.array(table.column("n").to_numpy()[row[keep]], pa.int32()), "p": pa.array((flat[keep] & 4095).astype(np.int32)), "m": pa.array(many.astype(np.int32))})
 
 
 def _pairs(percent: int):
-    """Candidate pairs of different components from the lists of a bucket."""
+    """(a, b, k): pairs of different components and their common tokens in a bucket."""
 
     def run(key, table):
         import pyarrow as pa
 
         w, i, n, p, c, blk, lo, hi = (table.column(x).to_numpy() for x in ("w", "i", "n", "p", "c", "blk", "lo", "hi"))
-        order = np.lexsort((p, n, hi, lo, w))
+        order = np.lexsort((i, p, n, hi, lo, w))
         w, i, n, p, c, blk, lo, hi = (x[order] for x in (w, i, n, p, c, blk, lo, hi))
         starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(w) else np.zeros(0, int)
         ends = np.append(starts[1:], len(w))
         low, high = (np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts)) if len(w) else (starts, starts)
-        left, right = [], []
-        seen: set = set()
+        seen: dict = {}
         for s, e in zip(starts[low != high].tolist(), ends[low != high].tolist()):
-            size, place, comp = n[s:e], p[s:e], c[s:e]
+            size, place, comp, ids, cut = n[s:e], p[s:e], c[s:e], i[s:e], blk[s:e]
             blocks = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
             bounds = np.append(blocks[1:], e - s)
+            sizes = size[blocks]
             for k in range(e - s):
                 a, at = int(size[k]), int(place[k])
-                for x, y in zip(blocks.tolist(), bounds.tolist()):
-                    b = int(size[x])
-                    if b > a or x > k:
-                        break
-                    if 100 * b < percent * a:
+                for x in range(int(np.searchsorted(sizes, -(-percent * a // 100))), int(np.searchsorted(sizes, a, side="right"))):
+                    b, first, last = int(sizes[x]), int(blocks[x]), min(int(bounds[x]), k)
+                    if first >= last:
                         continue
-                    # 1 + min(rest of a, rest of b) must reach the least overlap
+                    # tokens of either set that the other lacks are at most so many
                     need = -(-percent * (a + b) // (100 + percent))
-                    if a - at < need:
+                    from_ = (at * a // 4096 - (a - need) - 1) * 4096 // b - 1
+                    to = ((at + 1) * a // 4096 + (b - need) + 2) * 4096 // b + 1
+                    u = first + int(np.searchsorted(place[first:last], from_))
+                    v = first + int(np.searchsorted(place[first:last], to, side="right"))
+                    if u >= v:
                         continue
-                    stop = x + int(np.searchsorted(place[x:y], b - need, side="right"))
-                    for m in range(x, min(stop, k)):
-                        if comp[m] != comp[k] and (lo[s] == hi[s] or blk[s + m] != blk[s + k]):
-                            pair = (min(int(i[s + m]), int(i[s + k])), max(int(i[s + m]), int(i[s + k])))
-                            if pair not in seen:
-                                seen.add(pair)
-                                left.append(pair[0])
-                                right.append(pair[1])
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+                    ok = comp[u:v] != comp[k]
+                    if lo[s] != hi[s]:
+                        ok &= cut[u:v] != cut[k]
+                    me = int(ids[k])
+                    for other in ids[u:v][ok].tolist():
+                        pair = (other, me) if other < me else (me, other)
+                        seen[pair] = seen.get(pair, 0) + 1
+        return pa.table({"a": pa.array([x for x, _ in seen], pa.int64()), "b": pa.array([y for _, y in seen], pa.int64()), "k": pa.array(list(seen.values()), pa.int64())})
 
     return run
 
@@ -280,36 +329,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     top = light.where("i IS NULL").select(F.col("sig")[0].alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(HEAVY_MOST).collect()
     heavy = spark.sparkContext.broadcast({r["w"]: k for k, r in enumerate(reversed(top))})
     full = rows.where("n > 0")
-    classes = full.groupBy("fp").agg(F.min("i").alias("rep"), F.first("sig").alias("sig"), F.sum(F.col("n")).alias("total"))
+    classes = full.groupBy("fp").agg(F.min("i").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = checkpoint(classes)
     reps = classes.select(F.col("rep").alias("i"), "sig").dropDuplicates(["i"])
-    # answer level: two rounds, the second among the components of the first
-    links = _round(picked, reps, width, percent)
-    parts = connected_components(links)
-    named = reps.join(parts, reps["i"] == parts["id"], "left").select("i", "sig", F.coalesce("component", "i").alias("c"))
-    again = named.where("i = c").select("i", "sig")
-    if links.isEmpty():
-        label = checkpoint(named.select("i", "c"))
-    else:
-        more = _round(picked, again, width, percent)
-        links = links.unionByName(more)
-        parts = connected_components(links)
-        label = checkpoint(reps.join(parts, reps["i"] == parts["id"], "left").select("i", F.coalesce("component", "i").alias("c")))
+    # answer level; where groups were split, a second round links the components of the parts
+    keys = checkpoint(_keys(reps))
+    links = _round(picked, keys, width, percent)
+    label = _labels(reps, links)
+    if not keys.where(F.col("c") > GROUP).isEmpty():
+        again = checkpoint(_keys(label.where("i = c")).join(keys.where(F.col("c") > GROUP).select("v"), "v", "left_semi"))
+        chosen = picked.join(label.where("i = c").select("i"), "i", "left_semi")
+        links = links.unionByName(_round(chosen, again, width, percent))
+        label = _labels(reps, links)
+    label = checkpoint(label.select("i", "c"))
     # index level
     total = int(full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     buckets = max(32, total // 4_000_000)
-    posted = picked.mapInArrow(_prefixes(width, percent, heavy, buckets), "bucket int, i long, n int, tokens array<long>, places array<int>")
-    lists = posted.groupBy("bucket").applyInArrow(_shared_tokens, "w long, i long, n int, p int").join(label, "i").dropDuplicates(["w", "i"])
-    lists = checkpoint(lists)
-    mixed = lists.groupBy("w").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("w", "m")
-    spread = (
-        lists.join(mixed, "w")
-        .withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    posted = picked.mapInArrow(_prefixes(width, percent, heavy, buckets), "bucket int, i long, n int, tokens array<long>")
+    lists = posted.groupBy("bucket").applyInArrow(_shared_tokens, "w long, i long, n int, p int, m int").join(label, "i")
+    spread = (  # a long list is cut into blocks, and each pair of blocks is a list
+        lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
         .select("w", "i", "n", "p", "c", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
         .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(4 * buckets)).cast("int"))
     )
-    pairs = checkpoint(spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long").distinct())
+    pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    sizes = classes.select(F.col("rep").alias("i"), "n").dropDuplicates(["i"])
+    pairs = pairs.join(sizes.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = checkpoint(pairs.where(F.expr("k >= 1 + least(na, nb) div 16")).select("a", "b"))
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
         sets = _sets(picked, ends, width).join(ends, "i", "left_semi")
@@ -318,6 +365,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _answer(docs, id_col, rows, classes, connected_components(checkpoint(links)))
 
 
+def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
+    parts = connected_components(links)
+    return reps.join(parts, reps["i"] == parts["id"], "left").select("i", "sig", F.coalesce("component", "i").alias("c"))
+
+
 def _answer(docs, id_col, rows, classes, parts) -> DataFrame:
     named = rows.where("n > 0").join(classes.select("fp", "rep"), "fp").join(parts, F.col("rep") == F.col("id"), "left").select("i", "n", F.coalesce("component", "rep").alias("c"))
     empty = rows.where("n = 0").select("i", "n", F.col("i").alias("c"))
