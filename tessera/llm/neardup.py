@@ -17,7 +17,7 @@ from tessera.runtime import checkpoint, connected_components, read_table, ship_p
 
 LEAST = 0.93
 #: Nodes of a shard at which it is split further, and pivots of a split at most.
-SHARD = 1500
+SHARD = 8000
 PIVOTS = 64
 LEVELS = 5
 #: A node also joins shards whose pivot is nearly as close as the closest one.
@@ -67,19 +67,19 @@ def _assign(margin: float):
     return run
 
 
-def _cluster(nodes: DataFrame) -> DataFrame:
-    """(shard, i, v, home): splits shards of more than SHARD nodes around sampled pivots, level
+def _cluster(nodes: DataFrame, most: int) -> DataFrame:
+    """(shard, i, v, home): splits shards of more than ``most`` nodes around sampled pivots, level
     by level. A shard that a level does not shrink (close copies of one vector) stays whole."""
     rows = nodes.select(F.col("g").alias("shard"), "i", "v", F.lit(True).alias("home"))
     done = None
     for level in range(LEVELS):
         sizes = rows.groupBy("shard").agg(F.count("*").alias("m"))
-        large = sizes.where(F.col("m") > SHARD)
+        large = sizes.where(F.col("m") > most)
         if large.isEmpty():
             break
         small = rows.join(large, "shard", "left_anti")
         done = small if done is None else done.unionByName(small)
-        want = F.least(F.ceil(F.col("m") / F.lit(SHARD / 4)), F.lit(PIVOTS))
+        want = F.least(F.ceil(F.col("m") / F.lit(most / 4)), F.lit(PIVOTS))
         draw = F.pmod(F.xxhash64(F.lit(level), "i"), F.lit(1 << 30))
         picked = rows.join(F.broadcast(large) if large.count() <= BROADCAST_PIVOTS else large, "shard")
         pivots = picked.where(draw < want / F.col("m") * (1 << 30)).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("shard", F.col("s.v").alias("pivots"))
@@ -187,7 +187,7 @@ def _search(least: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD) -> DataFrame:
     """id, n_links, component_id and kept of every row.
 
     Rows link when their labels are equal and not null, their vectors are equally long and the
@@ -202,7 +202,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     base = base.withColumn("g", F.when(fine & F.col("i").isNotNull(), F.concat_ws(":", F.size("v").cast("string"), F.col("l"))))
     good = base.where("g IS NOT NULL")
     nodes = checkpoint(good.groupBy("g", "v").agg(F.min("i").alias("i"), F.count("*").alias("times")))
-    shards = checkpoint(_cluster(nodes))
+    shards = checkpoint(_cluster(nodes, shard))
     near = shards.select("shard", "i", "v").groupBy("shard").applyInArrow(_build, "i long, near array<long>")
     united = near.groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = shards.join(united, "i").groupBy("shard").applyInArrow(_search(least), "a long, b long")
