@@ -174,7 +174,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     placed = prefix_sums(numbered.where("size > 0"), ["_n"], ["_id", "_h", "size"], F.col("size"), "_at")
     got = (
         placed.select("*", F.explode(F.expr(f"sequence(_at div {block}, (_at + size - 1) div {block})")).alias("_b"))
-        .join(taken, (F.col("_n") == F.col("s")) & (F.col("_b") == F.col("b")), "left")
+        .join(taken.hint("merge"), (F.col("_n") == F.col("s")) & (F.col("_b") == F.col("b")), "left")
         .withColumn("_from", F.greatest(F.col("_at") - F.col("_b") * block, F.lit(0)))
         .withColumn("_to", F.least(F.col("_at") + F.col("size") - F.col("_b") * block, F.lit(block)))
         .withColumn("_w", F.coalesce("times", F.lit(0)) * (F.col("_to") - F.col("_from"))
