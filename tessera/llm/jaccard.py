@@ -8,7 +8,8 @@
    A list is sorted by set size and position; in each size block only the band of positions
    that a linked pair's common token can have is read, and the rest is skipped. Entries of
    the same component are skipped too. Pairs with too few common prefix tokens go, and what
-   remains is verified on whole sets.
+   remains is verified on whole sets. A set's commonest prefix tokens (passages that many
+   texts share) have no lists: fewer are left out than a linked pair has in common.
 
 A prefix leaves out the last ceil(t n) - l tokens of n, with l = 1 + n // 16: a linked pair has
 at least l of the smaller set's common tokens in both prefixes, whatever the order of
@@ -18,7 +19,7 @@ tokens. So the links found connect exactly the sets that chains of links connect
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.text_arrow import chunks
@@ -291,9 +292,10 @@ def _pairs(percent: int):
                         ok &= cut[u:v] != cut[k]
                     me = int(ids[k])
                     for other in ids[u:v][ok].tolist():
-                        pair = (other, me) if other < me else (me, other)
+                        pair = (other, me, b, a) if other < me else (me, other, a, b)
                         seen[pair] = seen.get(pair, 0) + 1
-        return pa.table({"a": pa.array([x for x, _ in seen], pa.int64()), "b": pa.array([y for _, y in seen], pa.int64()), "k": pa.array(list(seen.values()), pa.int64())})
+        cols = list(zip(*seen)) if seen else [[], [], [], []]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("a", "b", "na", "nb", "k"), [*cols, list(seen.values())], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))})
 
     return run
 
@@ -346,17 +348,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = int(full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     buckets = max(32, total // 4_000_000)
     posted = picked.mapInArrow(_prefixes(width, percent, heavy, buckets), "bucket int, i long, n int, tokens array<long>")
-    lists = posted.groupBy("bucket").applyInArrow(_shared_tokens, "w long, i long, n int, p int, m int").join(label, "i")
+    lists = posted.groupBy("bucket").applyInArrow(_shared_tokens, "w long, i long, n int, p int, m int")
+    # fewer than least() of any set that can link are left out, so a pair's rarest common token stays
+    common = Window.partitionBy("i").orderBy(F.desc("m"), "w")
+    lists = lists.withColumn("r", F.dense_rank().over(common)).where(F.expr(f"r > (n * {percent} div 100) div 16")).drop("r").join(label, "i")
     spread = (  # a long list is cut into blocks, and each pair of blocks is a list
         lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
         .select("w", "i", "n", "p", "c", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
         .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(4 * buckets)).cast("int"))
     )
-    pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
-    sizes = classes.select(F.col("rep").alias("i"), "n").dropDuplicates(["i"])
-    pairs = pairs.join(sizes.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = checkpoint(pairs.where(F.expr("k >= 1 + least(na, nb) div 16")).select("a", "b"))
+    pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 16 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
         sets = _sets(picked, ends, width).join(ends, "i", "left_semi")
