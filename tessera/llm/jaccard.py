@@ -11,7 +11,7 @@
    remains is verified on whole sets. A set's commonest prefix tokens (passages that many
    texts share) have no lists: fewer are left out than a linked pair has in common.
 
-A prefix leaves out the last ceil(t n) - l tokens of n, with l = 1 + n // 16: a linked pair has
+A prefix leaves out the last ceil(t n) - l tokens of n, with l = 1 + n // 10: a linked pair has
 at least l of the smaller set's common tokens in both prefixes, whatever the order of
 tokens. So the links found connect exactly the sets that chains of links connect.
 """
@@ -28,9 +28,11 @@ from tessera.runtime import checkpoint, connected_components, read_table, ship_p
 #: Places of the id filter that is sent to executors: 2^22 bits, half a megabyte, at any size.
 FILTER_BITS = 22
 #: Most members of a group that is compared in one task; larger ones are split.
-GROUP = 1500
+GROUP = 4000
 LIST = 2048
-HASHES = 2
+HASHES = 4
+#: Members that a component sends into a group of the second round.
+ENVOYS = 3
 #: Groups of more than GROUP members that are split; beyond so many, a group is one task.
 HOT_MOST = 100_000
 #: Tokens that so many sets of one chunk hold are counted over all chunks and go last.
@@ -102,21 +104,31 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select("i", "t", _place("i").alias("h")).mapInArrow(run, "i long, s binary")
 
 
-def _grouped_sets(docs: DataFrame, keys: DataFrame, hot: dict, width: int) -> DataFrame:
-    """(g, part, i, s): the sets of the texts with a minimum hash among ``keys`` (v), once for
-    each; groups in ``hot`` are dealt over parts by the id."""
+def part_of(i: int, n: int) -> int:
+    """The part of a split group that an id goes to; the same as pmod(xxhash64(i), n) in SQL."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+    return (h - (1 << 64) if h >= 1 << 63 else h) % n
+
+
+def _grouped_sets(docs: DataFrame, nodes: DataFrame, hot: dict, width: int) -> DataFrame:
+    """(g, part, i, s): the sets of the texts of ``nodes`` (i, v), once for each minimum hash that
+    the nodes name; groups in ``hot`` are dealt over parts by the id."""
     sc = docs.sparkSession.sparkContext
-    bits = sc.broadcast(_filter(keys.select(F.pmod("v", F.lit(1 << FILTER_BITS)).alias("h"))))
+    bits = sc.broadcast(_filter(nodes.select(F.pmod("v", F.lit(1 << FILTER_BITS)).alias("h"))))
+    ids = sc.broadcast(_filter(nodes.select(_place("i").alias("h"))))
     parts = sc.broadcast(hot)
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         from tessera.llm.shingles import min_hashes, shingle_sets
 
-        table = np.frombuffer(bits.value, np.int64)
+        table, wanted = np.frombuffer(bits.value, np.int64), np.frombuffer(ids.value, np.int64)
         for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(((wanted[h // 64] >> (h % 64)) & 1).astype(bool)))
             for part, texts in chunks(batch, "t"):
                 sets = shingle_sets(texts, width)
                 out = []
@@ -125,11 +137,11 @@ def _grouped_sets(docs: DataFrame, keys: DataFrame, hot: dict, width: int) -> Da
                         h = v % (1 << FILTER_BITS)
                         if (int(table[h // 64]) >> (h % 64)) & 1:
                             n = parts.value.get(v, 1)
-                            out.append((v, xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True)) % n, i, s.tobytes()))
+                            out.append((v, part_of(i, n), i, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()),
                                                   pa.array([x[3] for x in out], pa.binary())], names=["g", "part", "i", "s"])
 
-    return docs.mapInArrow(run, "g long, part int, i long, s binary")
+    return docs.select("i", "t", _place("i").alias("h")).mapInArrow(run, "g long, part int, i long, s binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -183,15 +195,25 @@ def _group_links(percent: int):
     return run
 
 
-def _round(docs: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links inside the groups of ``keys`` (v, c: members)."""
-    hot = {r["v"]: -(-r["c"] // GROUP) for r in keys.where(F.col("c") > GROUP).orderBy(F.desc("c"), "v").limit(HOT_MOST).collect()}
-    return checkpoint(_grouped_sets(docs, keys, hot, width).groupBy("g", "part").applyInArrow(_group_links(percent), "a long, b long"))
+def _round(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links inside the groups of ``nodes`` (i, v)."""
+    counts = nodes.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
+    hot = {r["v"]: -(-r["c"] // GROUP) for r in counts.orderBy(F.desc("c"), "v").limit(HOT_MOST).collect()}
+    return checkpoint(_grouped_sets(docs, nodes, hot, width).groupBy("g", "part").applyInArrow(_group_links(percent), "a long, b long"))
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """(i, v, c) of the nodes whose minimum hash another node has too, and how many have it."""
+    own = reps.select("i", F.explode("sig").alias("v"))
+    return own.join(own.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v").select("i", "v", "c")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(v, c) of the minimum hashes that two or more nodes have."""
-    return nodes.select(F.explode("sig").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+def _envoys(label: DataFrame) -> DataFrame:
+    """(i, v): of each minimum hash that several components have, some members of each."""
+    own = label.select("i", "c", F.explode("sig").alias("v"))
+    mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
+    few = own.join(mixed, "v").groupBy("v", "c").agg(*[F.min(F.when(F.pmod(F.xxhash64("i"), F.lit(ENVOYS)) == k, F.col("i"))).alias(f"i{k}") for k in range(ENVOYS)])
+    return few.select("v", F.explode(F.array(*[f"i{k}" for k in range(ENVOYS)])).alias("i")).where("i IS NOT NULL").select("i", "v")
 
 
 def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
@@ -233,7 +255,7 @@ def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
 
 def least(n: int) -> int:
     """Common prefix tokens that a link with a set of ``n`` as the smaller one has at least."""
-    return 1 + n // 16
+    return 1 + n // 10
 
 
 def _shared_tokens(table):
@@ -264,6 +286,11 @@ def _pairs(percent: int):
         w, i, n, p, c, blk, lo, hi = (table.column(x).to_numpy() for x in ("w", "i", "n", "p", "c", "blk", "lo", "hi"))
         order = np.lexsort((i, p, n, hi, lo, w))
         w, i, n, p, c, blk, lo, hi = (x[order] for x in (w, i, n, p, c, blk, lo, hi))
+        groups = np.zeros((len(w), HASHES), np.int64)
+        for row, gs in enumerate(table.column("gs").to_pylist()):
+            if gs:
+                groups[row, : len(gs)] = gs
+        groups = groups[order]
         starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(w) else np.zeros(0, int)
         ends = np.append(starts[1:], len(w))
         low, high = (np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts)) if len(w) else (starts, starts)
@@ -290,6 +317,8 @@ def _pairs(percent: int):
                     ok = comp[u:v] != comp[k]
                     if lo[s] != hi[s]:
                         ok &= cut[u:v] != cut[k]
+                    if groups[s + k].any():
+                        ok &= ~((groups[s + u : s + v, :, None] == groups[s + k][None, None, :]) & (groups[s + k] != 0)).any(axis=(1, 2))
                     me = int(ids[k])
                     for other in ids[u:v][ok].tolist():
                         pair = (other, me, b, a) if other < me else (me, other, a, b)
@@ -335,15 +364,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = checkpoint(classes)
     reps = classes.select(F.col("rep").alias("i"), "sig").dropDuplicates(["i"])
     # answer level; where groups were split, a second round links the components of the parts
-    keys = checkpoint(_keys(reps))
-    links = _round(picked, keys, width, percent)
+    members = checkpoint(_members(reps))
+    links = _round(picked, members, width, percent)
     label = _labels(reps, links)
-    if not keys.where(F.col("c") > GROUP).isEmpty():
-        again = checkpoint(_keys(label.where("i = c")).join(keys.where(F.col("c") > GROUP).select("v"), "v", "left_semi"))
-        chosen = picked.join(label.where("i = c").select("i"), "i", "left_semi")
-        links = links.unionByName(_round(chosen, again, width, percent))
+    if not members.where(F.col("c") > GROUP).isEmpty():
+        label = checkpoint(label)
+        links = links.unionByName(_round(picked, checkpoint(_envoys(label)), width, percent))
         label = _labels(reps, links)
-    label = checkpoint(label.select("i", "c"))
+    # pairs of one part of a group have been compared: the lists needn't give them again
+    group = F.xxhash64("v", F.pmod(F.xxhash64("i"), F.expr(f"cast(ceil(c / {GROUP}) AS BIGINT)")))
+    groups = members.groupBy("i").agg(F.collect_set(group).alias("gs"))
+    label = checkpoint(label.select("i", "c").join(groups, "i", "left"))
     # index level
     total = int(full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     buckets = max(32, total // 4_000_000)
@@ -355,11 +386,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = (  # a long list is cut into blocks, and each pair of blocks is a list
         lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
-        .select("w", "i", "n", "p", "c", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+        .select("w", "i", "n", "p", "c", "gs", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
         .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(4 * buckets)).cast("int"))
     )
     pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 16 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
+    pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 10 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
         sets = _sets(picked, ends, width).join(ends, "i", "left_semi")
