@@ -71,7 +71,10 @@ def _locate_module(rows: DataFrame, column: str) -> DataFrame:
     inside = F.array_join(F.concat(base, tail), "::")
     rel = X.crate_relative(column, F.col("own_package")) | (first == "super")
     path = F.when(first == F.col("own_package"), F.array_join(F.slice(seg, F.lit(2), F.size(seg)), "::")).when(rel, inside).otherwise(F.array_join(F.slice(seg, F.lit(2), F.size(seg)), "::"))
-    return rows.withColumn("package", F.when(rel, F.col("own_package")).otherwise(first)).withColumn("module", path)
+    outer = rows.withColumn("package", F.when(rel, F.col("own_package")).otherwise(first)).withColumn("module", path)
+    # a path may also start at a child of the file's own module
+    child = rows.where(~rel).withColumn("package", F.col("own_package")).withColumn("module", F.concat_ws("::", F.when(F.col("own_module") != "", F.col("own_module")), F.col(column)))
+    return outer.unionByName(child)
 
 
 def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
