@@ -30,6 +30,10 @@ FILTER_BITS = 22
 #: Most members of a group that is compared in one task; larger ones are split.
 GROUP = 4000
 LIST = 2048
+#: Lists of at most so many entries are worked on together.
+SMALL = 24
+#: Shingles to a bucket of lists; few buckets, as a pair comes once from each that it meets in.
+BUCKET = 6_000_000
 HASHES = 4
 #: Members that a component sends into a group of the second round.
 ENVOYS = 3
@@ -208,9 +212,9 @@ def _members(reps: DataFrame) -> DataFrame:
     return own.join(own.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v").select("i", "v", "c")
 
 
-def _envoys(label: DataFrame) -> DataFrame:
-    """(i, v): of each minimum hash that several components have, some members of each."""
-    own = label.select("i", "c", F.explode("sig").alias("v"))
+def _envoys(label: DataFrame, members: DataFrame) -> DataFrame:
+    """(i, v): of each split group, some members of each of its components."""
+    own = members.where(F.col("c") > GROUP).select("i", "v").join(label.select("i", "c"), "i")
     mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
     few = own.join(mixed, "v").groupBy("v", "c").agg(*[F.min(F.when(F.pmod(F.xxhash64("i"), F.lit(ENVOYS)) == k, F.col("i"))).alias(f"i{k}") for k in range(ENVOYS)])
     return few.select("v", F.explode(F.array(*[f"i{k}" for k in range(ENVOYS)])).alias("i")).where("i IS NOT NULL").select("i", "v")
@@ -227,27 +231,33 @@ def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
         rank = np.array([heavy.value[int(np.int64(k.astype(np.int64)))] for k in keys], np.int64)
         for batch in batches:
             for part, texts in chunks(batch, "t"):
-                out_b, out_i, out_n, out_t = [], [], [], []
-                for i, s in zip(part.column("i").to_pylist(), shingle_sets(texts, width)):
-                    if not len(s):
+                tokens, places, sizes = [], [], []
+                for s in shingle_sets(texts, width):
+                    n = len(s)
+                    sizes.append(n)
+                    if not n:
                         continue
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         often = keys[at] == s
-                        s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
-                    n = len(s)
+                        if often.any():
+                            s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
                     pre = s[: n - (-(-percent * n // 100)) + least(n)]
-                    bucket = ((pre >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
-                    sort = np.argsort(bucket, kind="stable")
-                    cut = np.flatnonzero(np.diff(bucket[sort])) + 1
-                    for where in np.split(sort, cut):
-                        out_b.append(int(bucket[where[0]]))
-                        out_i.append(i)
-                        out_n.append(n)
-                        # the token's upper 52 bits, and its place in 4096ths of the set
-                        out_t.append(((pre[where] & ~np.uint64(4095)) | (where * 4096 // n).astype(np.uint64)).astype(np.int64))
-                lists = lambda v, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32)), pa.array(np.concatenate(v) if v else np.zeros(0), t))
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_i, pa.int64()), pa.array(out_n, pa.int32()), lists(out_t, pa.int64())],
+                    tokens.append(pre)
+                    places.append(np.arange(len(pre), dtype=np.int64) * 4096 // n)
+                size = np.array(sizes, np.int64)
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+                doc = np.repeat(np.flatnonzero(size), [len(x) for x in tokens])
+                # the token's upper 52 bits, and its place in 4096ths of the set
+                packed = (flat & ~np.uint64(4095)) | (np.concatenate(places).astype(np.uint64) if places else flat)
+                bucket = ((flat >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(doc * buckets + bucket, kind="stable")
+                key = (doc * buckets + bucket)[order]
+                cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                owner = key[cut] // buckets
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(packed[order].astype(np.int64)))
+                ids = part.column("i").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array((key[cut] % buckets).astype(np.int32)), pa.array(ids[owner]), pa.array(size[owner].astype(np.int32)), lists],
                                                  names=["bucket", "i", "n", "tokens"])
 
     return run
@@ -278,53 +288,81 @@ def _shared_tokens(table):
 
 
 def _pairs(percent: int):
-    """(a, b, k): pairs of different components and their common tokens in a bucket."""
+    """(a, b, na, nb, k): pairs of different components and their common tokens in a bucket."""
 
     def run(key, table):
         import pyarrow as pa
 
-        w, i, n, p, c, blk, lo, hi = (table.column(x).to_numpy() for x in ("w", "i", "n", "p", "c", "blk", "lo", "hi"))
-        order = np.lexsort((i, p, n, hi, lo, w))
-        w, i, n, p, c, blk, lo, hi = (x[order] for x in (w, i, n, p, c, blk, lo, hi))
-        groups = np.zeros((len(w), HASHES), np.int64)
-        for row, gs in enumerate(table.column("gs").to_pylist()):
-            if gs:
-                groups[row, : len(gs)] = gs
-        groups = groups[order]
-        starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(w) else np.zeros(0, int)
-        ends = np.append(starts[1:], len(w))
-        low, high = (np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts)) if len(w) else (starts, starts)
-        seen: dict = {}
-        for s, e in zip(starts[low != high].tolist(), ends[low != high].tolist()):
-            size, place, comp, ids, cut = n[s:e], p[s:e], c[s:e], i[s:e], blk[s:e]
-            blocks = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
-            bounds = np.append(blocks[1:], e - s)
-            sizes = size[blocks]
-            for k in range(e - s):
-                a, at = int(size[k]), int(place[k])
-                for x in range(int(np.searchsorted(sizes, -(-percent * a // 100))), int(np.searchsorted(sizes, a, side="right"))):
-                    b, first, last = int(sizes[x]), int(blocks[x]), min(int(bounds[x]), k)
-                    if first >= last:
-                        continue
-                    # tokens of either set that the other lacks are at most so many
-                    need = -(-percent * (a + b) // (100 + percent))
-                    from_ = (at * a // 4096 - (a - need) - 1) * 4096 // b - 1
-                    to = ((at + 1) * a // 4096 + (b - need) + 2) * 4096 // b + 1
-                    u = first + int(np.searchsorted(place[first:last], from_))
-                    v = first + int(np.searchsorted(place[first:last], to, side="right"))
-                    if u >= v:
-                        continue
-                    ok = comp[u:v] != comp[k]
-                    if lo[s] != hi[s]:
-                        ok &= cut[u:v] != cut[k]
-                    if groups[s + k].any():
-                        ok &= ~((groups[s + u : s + v, :, None] == groups[s + k][None, None, :]) & (groups[s + k] != 0)).any(axis=(1, 2))
-                    me = int(ids[k])
-                    for other in ids[u:v][ok].tolist():
-                        pair = (other, me, b, a) if other < me else (me, other, a, b)
-                        seen[pair] = seen.get(pair, 0) + 1
-        cols = list(zip(*seen)) if seen else [[], [], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("a", "b", "na", "nb", "k"), [*cols, list(seen.values())], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))})
+        def column(name):
+            return table.column(name).to_numpy()
+
+        w, lo, hi, c = column("w"), column("lo"), column("hi"), column("c")
+        order = np.lexsort((column("i"), column("p"), column("n"), hi, lo, w))
+        w, lo, hi, c = w[order], lo[order], hi[order], c[order]
+        starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(w) else np.zeros(0, np.int64)
+        out = []
+        if len(starts):
+            size = np.diff(np.append(starts, len(w)))
+            mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+            rows = np.repeat(mixed, size)  # lists of one component give nothing
+            order, lo, hi, c = order[rows], lo[rows], hi[rows], c[rows]
+            ids, n, p, blk = (column(x)[order] for x in ("i", "n", "p", "blk"))
+            groups = np.zeros((len(order), HASHES), np.int64)
+            kept = table.column("gs").combine_chunks().take(pa.array(order)) if len(order) else []
+            for k, gs in enumerate(kept):
+                if gs.is_valid:
+                    got = gs.as_py()
+                    groups[k, : len(got)] = got
+            size = size[mixed]
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
+
+            def keep(x, y):
+                """Pairs of rows (x sorted before y) that may link and weren't compared."""
+                b, a, q, r = n[x].astype(np.int64), n[y].astype(np.int64), p[x].astype(np.int64), p[y].astype(np.int64)
+                need = -(-percent * (a + b) // (100 + percent))
+                # places in tokens, at least and at most; either set lacks at most so many tokens
+                ok = (c[x] != c[y]) & (100 * b >= percent * a) & ((r + 1) * a // 4096 + 1 + (b - need) >= q * b // 4096) & ((q + 1) * b // 4096 + 1 + (a - need) >= r * a // 4096)
+                ok &= (lo[x] == hi[x]) | (blk[x] != blk[y])
+                x, y = x[ok], y[ok]
+                met = ((groups[x][:, :, None] == groups[y][:, None, :]) & (groups[x] != 0)[:, :, None]).any(axis=(1, 2))
+                x, y = x[~met], y[~met]
+                swap = ids[x] > ids[y]
+                u, v = np.where(swap, y, x), np.where(swap, x, y)
+                if len(u):
+                    out.append(np.column_stack([ids[u], ids[v], n[u], n[v]]))
+
+            for m in np.unique(size).tolist():
+                at = starts[size == m]
+                if m <= SMALL:  # short lists of one length at once
+                    left, right = np.triu_indices(m, 1)
+                    step = max(1, 400_000 // len(left))
+                    for k in range(0, len(at), step):
+                        base = at[k : k + step, None]
+                        keep((base + left).ravel(), (base + right).ravel())
+                    continue
+                for s in at.tolist():
+                    e = s + m
+                    sizes, blocks = np.unique(n[s:e], return_index=True)
+                    blocks = np.append(blocks, m)
+                    for k in range(m):
+                        a, r = int(n[s + k]), int(p[s + k])
+                        x, y = [], []
+                        for j in range(int(np.searchsorted(sizes, -(-percent * a // 100))), int(np.searchsorted(sizes, a, side="right"))):
+                            b, first, last = int(sizes[j]), s + int(blocks[j]), s + min(int(blocks[j + 1]), k)
+                            if first >= last:
+                                continue
+                            # only the band of places that a common token can have, in this block
+                            need = -(-percent * (a + b) // (100 + percent))
+                            low = (r * a // 4096 - (a - need) - 2) * 4096 // b - 1
+                            high = ((r + 1) * a // 4096 + (b - need) + 3) * 4096 // b + 1
+                            u = first + int(np.searchsorted(p[first:last], low))
+                            v = first + int(np.searchsorted(p[first:last], high, side="right"))
+                            x.append(np.arange(u, v))
+                        if x:
+                            x = np.concatenate(x)
+                            keep(x, np.full(len(x), s + k))
+        got, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1]), "na": pa.array(got[:, 2].astype(np.int32)), "nb": pa.array(got[:, 3].astype(np.int32)), "k": pa.array(times.astype(np.int64))})
 
     return run
 
@@ -369,7 +407,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = _labels(reps, links)
     if not members.where(F.col("c") > GROUP).isEmpty():
         label = checkpoint(label)
-        links = links.unionByName(_round(picked, checkpoint(_envoys(label)), width, percent))
+        links = links.unionByName(_round(picked, checkpoint(_envoys(label, members)), width, percent))
         label = _labels(reps, links)
     # pairs of one part of a group have been compared: the lists needn't give them again
     group = F.xxhash64("v", F.pmod(F.xxhash64("i"), F.expr(f"cast(ceil(c / {GROUP}) AS BIGINT)")))
@@ -387,7 +425,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
         .select("w", "i", "n", "p", "c", "gs", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-        .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(4 * buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(max(12, total // BUCKET))).cast("int"))
     )
     pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 10 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
