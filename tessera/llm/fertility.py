@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.text_arrow import chunks
 from tessera.runtime import read_table, ship_package
@@ -205,6 +206,15 @@ def quality_rules(
     go to the first of SCRIPTS. With ``carry`` the input columns come back too (the figures'
     names win over clashing ones by a leading ``q_``). Each row is judged alone.
     """
+    out, names = _judge(docs, id_col, text_col, pieces, byte_level, bands, min_words, carry)
+    if not carry:
+        return out.withColumnRenamed("i", id_col)
+    taken = {c.lower() for c in docs.columns}
+    return out.select(*[out[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)], *[out[n].alias(f"q_{n}" if n in taken else n) for n in names])
+
+
+def _judge(docs, id_col="doc_id", text_col="text", pieces=PIECES, byte_level=BYTES, bands=None, min_words=50, carry=True):
+    """The rows with their figures, input columns as c0, c1, ... so that no names clash."""
     ship_package(docs.sparkSession)
     bands = bands or BANDS
     whole = pieces, byte_level
@@ -231,18 +241,13 @@ def quality_rules(
     first = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), *([docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)] if carry else []))
     kept_cols = first.schema.fields if carry else first.schema.fields[:1]
     schema = ", ".join([*(f"{x.name} {x.dataType.simpleString()}" for x in kept_cols), *(f"{n} {k}" for n, k in zip(OUT, kinds))])
-    out = first.mapInArrow(run, schema)
-    if not carry:
-        return out.withColumnRenamed("i", id_col)
-    return out.select(*[out[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)],
-                      *[out[n].alias(f"q_{n}" if n in docs.columns else n) for n in OUT])
+    return first.mapInArrow(run, schema), OUT
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    judged = quality_rules(docs, carry=True, **options)
-    verdict = "q_kept" if "kept" in docs.columns else "kept"
-    return judged.where(judged[verdict]).select(*docs.columns)
+    judged, _ = _judge(docs, **options)
+    return judged.where("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

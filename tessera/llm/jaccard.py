@@ -452,8 +452,8 @@ def _answer(docs, id_col, rows, classes, parts) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The document with the smallest id of each group, as it came."""
-    found = jaccard_components(docs, id_col=id_col, **options).select(F.col(id_col).alias("_i"), "component_id").where("_i = component_id").select("_i").distinct()
-    return docs.join(found, docs[id_col] == found["_i"], "left_semi").dropDuplicates([id_col])
+    found = jaccard_components(docs, id_col=id_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stays")).distinct()
+    return docs.join(found, docs[id_col] == found["__stays"], "left_semi").dropDuplicates([id_col])
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     sums = parts.select("l", F.posexplode("v")).groupBy("l", "pos").agg(F.sum("col").alias("x"))
     got = sums.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).orderBy("l").collect()
     langs = [r["l"] for r in got]
-    table = np.array([[x["x"] for x in r["v"]] for r in got]).reshape(len(langs), -1)
+    table = np.array([[x["x"] for x in r["v"]] for r in got], float).reshape(len(langs), dimensions)
     table = np.round(table, 6)  # sums of partitions in any order
     size = np.linalg.norm(table, axis=1, keepdims=True) if len(langs) else 1
     return langs, table / np.where(size == 0, 1, size)

@@ -199,15 +199,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     and follows them."""
     rows, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     share = rows.groupBy("_id", "_src", "_h").agg(F.first("size").alias("_size"), F.expr("cast(ceil(sum(taken) / count(*)) AS BIGINT)").alias("_taken")).where("_taken > 0")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    both = keyed.join(share, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_h")))
+    # the row is packed, so that no column's name can clash
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_did"), docs[source_col].alias("_dsrc"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_key"))
+    both = keyed.join(share, F.col("_did").eqNullSafe(F.col("_id")) & F.col("_dsrc").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_h")))
     copies = both.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_taken - (_copy - 1) * _size AS INT)), ' ')")
-    out = copies.withColumn(text_col, F.when(left >= F.col("_size"), F.col(text_col)).otherwise(cut))
+    cut = F.expr("array_join(slice(regexp_extract_all(_text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_taken - (_copy - 1) * _size AS INT)), ' ')")
+    out = copies.withColumn("_new", F.when(left >= F.col("_size"), F.col("_text")).otherwise(cut))
+    changed = {text_col: F.col("_new")}
     if length_col:
-        out = out.withColumn(length_col, F.when(left >= F.col("_size"), F.col(length_col)).otherwise(F.length(text_col).cast("long")))
-    return out.select(*docs.columns)
+        changed[length_col] = F.when(left >= F.col("_size"), F.col("_row")[length_col]).otherwise(F.length("_new").cast("long"))
+    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

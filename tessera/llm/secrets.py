@@ -128,16 +128,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """``docs`` with every span replaced by ``mark``; texts without spans stay as they are.
     ``length_col`` names a column that holds the texts' length and follows them."""
     ratios = ratios or train(docs, id_col, text_col)
-    found = scan(docs, ratios, text_col)
+    # the row is packed, so that no column's name can clash
+    found = scan(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text")), ratios, "_text")
     clean = F.expr(f"""aggregate(_all, named_struct('at', 0, 'out', cast(array() AS ARRAY<STRING>)),
         (s, z) -> IF(z.start >= s.at,
-          named_struct('at', z.end, 'out', concat(s.out, array(substr(`{text_col}`, s.at + 1, z.start - s.at), '{mark}'))),
+          named_struct('at', z.end, 'out', concat(s.out, array(substr(_text, s.at + 1, z.start - s.at), '{mark}'))),
           named_struct('at', greatest(s.at, z.end), 'out', s.out)),
-        s -> array_join(concat(s.out, array(substr(`{text_col}`, s.at + 1))), ''))""")
-    out = found.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(F.col(text_col)))
+        s -> array_join(concat(s.out, array(substr(_text, s.at + 1))), ''))""")
+    out = found.withColumn("_new", F.when(F.size("_all") > 0, clean).otherwise(F.col("_text")))
+    changed = {text_col: F.col("_new")}
     if length_col:
-        out = out.withColumn(length_col, F.when(F.size("_all") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        changed[length_col] = F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(F.col("_row")[length_col])
+    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
