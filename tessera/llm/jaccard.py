@@ -425,7 +425,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
         .select("w", "i", "n", "p", "c", "gs", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-        .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(max(12, total // BUCKET))).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(max(6, total // BUCKET))).cast("int"))
     )
     pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 10 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
