@@ -155,9 +155,14 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
         for batch in batches:
             for p in batch.column("path").to_pylist():
                 full = os.path.join(base, p)
-                size = os.path.getsize(full)
-                with open(full, "rb") as f:
-                    data = f.read() if size <= cap else None
+                size, data = 0, None  # a file that can't be read is an issue, not an error
+                try:
+                    size = os.path.getsize(full)
+                    if size <= cap:
+                        with open(full, "rb") as f:
+                            data = f.read()
+                except OSError:
+                    pass
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["path", "length", "content"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
