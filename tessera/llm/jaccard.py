@@ -32,6 +32,8 @@ GROUP = 4000
 LIST = 2048
 #: Lists of at most so many entries are worked on together.
 SMALL = 24
+#: Pairs of a bucket that are held before their counts are summed.
+PAIRS_HELD = 400_000
 #: Shingles to a bucket of lists; few buckets, as a pair comes once from each that it meets in.
 BUCKET = 6_000_000
 HASHES = 4
@@ -287,6 +289,18 @@ def _shared_tokens(table):
                      "n": pa.array(table.column("n").to_numpy()[row[keep]], pa.int32()), "p": pa.array((flat[keep] & 4095).astype(np.int32)), "m": pa.array(many.astype(np.int32))})
 
 
+def _summed(parts: list) -> np.ndarray:
+    """Rows (a, b, na, nb, k) with k summed for each pair."""
+    if not parts:
+        return np.zeros((0, 5), np.int64)
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
+    out = rows[first]
+    out[:, 4] = np.add.reduceat(rows[:, 4], first)
+    return out
+
+
 def _pairs(percent: int):
     """(a, b, na, nb, k): pairs of different components and their common tokens in a bucket."""
 
@@ -300,7 +314,7 @@ def _pairs(percent: int):
         order = np.lexsort((column("i"), column("p"), column("n"), hi, lo, w))
         w, lo, hi, c = w[order], lo[order], hi[order], c[order]
         starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(w) else np.zeros(0, np.int64)
-        out = []
+        out, held = [], [0]
         if len(starts):
             size = np.diff(np.append(starts, len(w)))
             mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
@@ -329,13 +343,17 @@ def _pairs(percent: int):
                 swap = ids[x] > ids[y]
                 u, v = np.where(swap, y, x), np.where(swap, x, y)
                 if len(u):
-                    out.append(np.column_stack([ids[u], ids[v], n[u], n[v]]))
+                    out.append(np.column_stack([ids[u], ids[v], n[u], n[v], np.ones(len(u), np.int64)]))
+                    held[0] += len(u)
+                    if held[0] > PAIRS_HELD:
+                        out[:] = [_summed(out)]
+                        held[0] = len(out[0]) // 2  # summed rows are half as pressing
 
             for m in np.unique(size).tolist():
                 at = starts[size == m]
                 if m <= SMALL:  # short lists of one length at once
                     left, right = np.triu_indices(m, 1)
-                    step = max(1, 400_000 // len(left))
+                    step = max(1, 100_000 // len(left))
                     for k in range(0, len(at), step):
                         base = at[k : k + step, None]
                         keep((base + left).ravel(), (base + right).ravel())
@@ -361,8 +379,8 @@ def _pairs(percent: int):
                         if x:
                             x = np.concatenate(x)
                             keep(x, np.full(len(x), s + k))
-        got, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1]), "na": pa.array(got[:, 2].astype(np.int32)), "nb": pa.array(got[:, 3].astype(np.int32)), "k": pa.array(times.astype(np.int64))})
+        got = _summed(out)
+        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1]), "na": pa.array(got[:, 2].astype(np.int32)), "nb": pa.array(got[:, 3].astype(np.int32)), "k": pa.array(got[:, 4])})
 
     return run
 
