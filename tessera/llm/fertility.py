@@ -21,7 +21,9 @@ from tessera.runtime import read_table, ship_package
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
+#: Bytes of text measured together; its arrays are what a task holds.
+PIECE_BYTES = 1_500_000
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 
@@ -226,7 +228,7 @@ def _judge(docs, id_col="doc_id", text_col="text", pieces=PIECES, byte_level=BYT
             _STATE[whole] = Fertility(*(p if "/" in p else public_tokenizers.path(p) for p in whole))
         f = _STATE[whole]
         for batch in batches:
-            for part, texts in chunks(batch, "t"):
+            for part, texts in chunks(batch, "t", PIECE_BYTES):
                 m = measure(texts, f)
                 failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
                 kept = ~failed & within_bands(m, bands)
