@@ -2,7 +2,7 @@
 
 Documents that the quality rules reject go, one document of each group of near copies stays,
 secrets are replaced by a mark, the sources are mixed to their target weights (a document
-may come back twice, or cut, or go), and what is left is encoded.
+may come back twice, in the passages drawn, or go), and what is left is encoded.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import checkpoint, prefix_sums, read_table, ship_package
@@ -139,9 +139,11 @@ def _slots(passes: dict, block: int, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = 64, seed: int = 0,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(rows: _id, _src, _h, size, source_size, target, taken; slots: shard, source, place, block, words).
+def _met(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = 64, seed: int = 0,
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their source; those with words by block, with the words _from.._to of the
+    block that are theirs, how often it is taken in full and how many of them it gives in
+    part; slots).
 
     Sources sort by code point, null last, and weigh ``weights`` in turn. A document's size is
     its number of words, 0 for a null text, and a document of size 0 is never taken. ``taken``
@@ -172,13 +174,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         F.count(F.when(F.col("full"), 1)).alias("times"), F.max(F.when(~F.col("full"), F.col("words"))).alias("part"))
     numbered = base.join(F.broadcast(table), F.col("_src").eqNullSafe(F.col("_name"))).drop("_name")
     placed = prefix_sums(numbered.where("size > 0"), ["_n"], ["_id", "_h", "size"], F.col("size"), "_at")
-    got = (
+    met = (
         placed.select("*", F.explode(F.expr(f"sequence(_at div {block}, (_at + size - 1) div {block})")).alias("_b"))
         .join(taken.hint("merge"), (F.col("_n") == F.col("s")) & (F.col("_b") == F.col("b")), "left")
         .withColumn("_from", F.greatest(F.col("_at") - F.col("_b") * block, F.lit(0)))
         .withColumn("_to", F.least(F.col("_at") + F.col("size") - F.col("_b") * block, F.lit(block)))
-        .withColumn("_w", F.coalesce("times", F.lit(0)) * (F.col("_to") - F.col("_from"))
-                    + F.greatest(F.least(F.coalesce("part", F.lit(0)), F.col("_to")) - F.col("_from"), F.lit(0)))
+        .withColumn("_times", F.coalesce("times", F.lit(0)).cast("long"))
+        .withColumn("_some", F.greatest(F.least(F.coalesce("part", F.lit(0)), F.col("_to")) - F.col("_from"), F.lit(0)).cast("long"))
+    )
+    return numbered, met, slots
+
+
+def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(rows: _id, _src, _h, size, source_size, target, taken; slots: shard, source, place,
+    block, words) of the mix that ``_met`` draws."""
+    numbered, met, slots = _met(docs, **options)
+    got = (
+        met.withColumn("_w", F.col("_times") * (F.col("_to") - F.col("_from")) + F.col("_some"))
         .groupBy("_n", "_at", "_id", "_src", "_h", "size", "source_size", "target").agg(F.sum("_w").cast("long").alias("taken"))
     )
     columns = ["_id", "_src", "_h", "size", "source_size", "target", "taken"]
@@ -186,30 +198,66 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     return got.select(*columns).unionByName(none.select(*columns)), slots
 
 
+def _ranges(met: DataFrame, block: int) -> DataFrame:
+    """_id, _src, _h, _at, _size, _runs: the word ranges (copy, a, b) that the mix takes of each
+    document, in words of the document from 0, end exclusive. A block's k-th taking belongs to
+    copy k; ranges of a copy that touch are one."""
+    pieces = (
+        met.withColumn("_start", F.col("_b") * block + F.col("_from") - F.col("_at"))
+        .select("_n", "_at", "_id", "_src", "_h", "size", F.explode(F.expr("""concat(
+            IF(_times > 0, transform(sequence(1L, greatest(_times, 1L)), c -> named_struct('c', c, 'a', _start, 'b', _start + _to - _from)), array()),
+            IF(_some > 0, array(named_struct('c', _times + 1, 'a', _start, 'b', _start + _some)), array()))""")).alias("x"))
+        .select("_n", "_at", "_id", "_src", "_h", "size", "x.*")
+    )
+    along = Window.partitionBy("_n", "_at").orderBy("c", "a")
+    fresh = F.when((F.lag("c").over(along) == F.col("c")) & (F.lag("b").over(along) == F.col("a")), 0).otherwise(1)
+    runs = pieces.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(along))
+    whole = runs.groupBy("_n", "_at", "_run").agg(*[F.first(c).alias(c) for c in ("_id", "_src", "_h", "size", "c")], F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("_n", "_at").agg(*[F.first(c).alias(c) for c in ("_id", "_src", "_h")], F.first("size").alias("_size"),
+                                          F.sort_array(F.collect_list(F.struct("c", "a", "b"))).alias("_runs")).drop("_n")
+
+
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """id, size, source_size, target, taken of every document (see ``mix``)."""
     rows, _ = mix(docs, id_col=id_col, **options)
     return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, **options) -> DataFrame:
-    """``docs`` as often as the mix takes them: whole copies, and the last one cut to the
-    words that are left, joined by blanks. Rows equal in id, text and source share their words evenly; a
-    document that isn't taken goes. ``length_col`` names a column that holds the texts' length
-    and follows them."""
-    rows, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    share = rows.groupBy("_id", "_src", "_h").agg(F.first("size").alias("_size"), F.expr("cast(ceil(sum(taken) / count(*)) AS BIGINT)").alias("_taken")).where("_taken > 0")
-    # the row is packed, so that no column's name can clash
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_did"), docs[source_col].alias("_dsrc"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_key"))
-    both = keyed.join(share, F.col("_did").eqNullSafe(F.col("_id")) & F.col("_dsrc").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_h")))
-    copies = both.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.expr("array_join(slice(regexp_extract_all(_text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_taken - (_copy - 1) * _size AS INT)), ' ')")
-    out = copies.withColumn("_new", F.when(left >= F.col("_size"), F.col("_text")).otherwise(cut))
-    changed = {text_col: F.col("_new")}
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, block: int = BLOCK, **options) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each whole copy, and for each run of words that
+    stand together in the blocks drawn, with the text between them as it was. A document that
+    isn't taken goes. ``length_col`` names a column that holds the texts' length and follows
+    them. Rows equal in id, text and source get a place in the stream each."""
+    _, met, _ = _met(docs, id_col=id_col, text_col=text_col, source_col=source_col, block=block, **options)
+    equal = Window.partitionBy("_id", "_src", "_h").orderBy("_at")
+    ranges = checkpoint(_ranges(met, block))
+    places = checkpoint(met.groupBy("_id", "_src", "_h").agg(F.countDistinct("_at").alias("_rows")).where("_rows > 1"))
+    # the other columns are packed, so that no column's name can clash
+    rest = [c for c in docs.columns if c not in (text_col, length_col)]
+    keyed = docs.select(F.struct(*[docs[c] for c in rest], F.lit(0).alias("_")).alias("_row"), docs[id_col].alias("_did"), docs[source_col].alias("_dsrc"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_key"),
+                        docs[length_col].alias("_length") if length_col else F.lit(None).cast("long").alias("_length"))
+    same = F.col("_did").eqNullSafe(F.col("_id")) & F.col("_dsrc").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_h"))
+    alike = [ranges[c].eqNullSafe(places[c]) for c in ("_id", "_src", "_h")]
+    if places.isEmpty():
+        both = keyed.join(ranges, same)
+    else:  # the k-th of equal rows gets the k-th place
+        both = keyed.join(ranges.join(places, alike, "left_anti"), same)
+        at = met.select("_id", "_src", "_h", "_at").distinct()
+        at = at.join(places, [at[c].eqNullSafe(places[c]) for c in ("_id", "_src", "_h")], "left_semi").withColumn("_k", F.row_number().over(equal)).select("_at", "_k", F.col("_src").alias("_s"))
+        many = ranges.join(places, alike, "left_semi").join(at.withColumnRenamed("_at", "_a"), (F.col("_at") == F.col("_a")) & F.col("_src").eqNullSafe(F.col("_s"))).drop("_a", "_s")
+        order = F.xxhash64(*[F.col("_row")[c] for c, kind in docs.dtypes if c in rest and "map<" not in kind], F.lit(0))
+        again = keyed.join(places, same, "left_semi").withColumn("_dk", F.row_number().over(Window.partitionBy("_did", "_dsrc", "_key").orderBy(order)))
+        both = both.unionByName(again.join(many, same & (F.col("_dk") == F.col("_k"))).drop("_k", "_dk"))
+    space = "\\\\x20\\\\x09-\\\\x0D"
+    pieces = F.expr(f"""transform(
+        IF(exists(_runs, r -> r.b - r.a < _size), array(regexp_extract_all(_text, '[{space}]*[^{space}]+', 0)), array(cast(array() AS ARRAY<STRING>))),
+        w -> transform(_runs, r -> IF(r.b - r.a = _size, named_struct('t', _text, 'n', _length),
+            transform(array(regexp_replace(array_join(slice(w, cast(r.a + 1 AS INT), cast(r.b - r.a AS INT)), ''), '^[{space}]+', '')), t -> named_struct('t', t, 'n', cast(length(t) AS BIGINT)))[0])))[0]""")
+    out = both.select("_row", F.explode(pieces).alias("_new"))
+    changed = {text_col: F.col("_new.t")}
     if length_col:
-        changed[length_col] = F.when(left >= F.col("_size"), F.col("_row")[length_col]).otherwise(F.length("_new").cast("long"))
-    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+        changed[length_col] = F.col("_new.n")
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -187,6 +187,28 @@ def test_mixing(spark, docs, edge):
     assert sum(len(re.findall(r"\S+", r["text"])) for r in out.collect()) >= 40_000
 
 
+def test_mixed_emits_the_words_drawn(spark):
+    space = r"[^\x20\x09-\x0D]+"
+    rows = [(k, "\n ".join(f"d{k}w{j}" for j in range(1 + 37 * k % 90)) + "\n", "en", "ab"[k % 2]) for k in range(60)]
+    rows += [(7, rows[7][1], "de", "b"), (7, rows[7][1], "fr", "b"), (None, "n1 n2", "en", "c"), (99, None, "en", "c")]
+    df = frame(spark, rows)
+    for weights in ((3, 1, 2), (1, 9, 2)):
+        _, met, slots = mixing._met(df, weights=weights, block=8)
+        number = {r["_n"]: r["_src"] for r in met.select("_n", "_src").distinct().collect()}
+        text = {(i, src): re.findall(space, t or "") for i, t, _, src in rows}
+        stream = {}
+        for r in met.select("_n", "_at", "_id").distinct().orderBy("_n", "_at").collect():
+            stream.setdefault(r["_n"], []).extend(text[r["_id"], number[r["_n"]]])
+        want = Counter()
+        for r in slots.collect():
+            at = r["block"] * 8
+            want.update((number[r["source"]], w) for w in stream[r["source"]][at : at + r["words"]])
+        out = mixing.mixed(df, weights=weights, block=8).collect()
+        assert Counter((r["source"], w) for r in out for w in re.findall(space, r["text"])) == want
+        whole = {(i, src): t or "" for i, t, _, src in rows}
+        assert all(r["text"] in whole[r["doc_id"], r["source"]] for r in out)
+
+
 # --- Jaccard join
 
 
