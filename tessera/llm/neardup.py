@@ -4,7 +4,8 @@ Equal vectors of a label are one node. Nodes are dealt to overlapping cluster sh
 sampled pivots; in each shard a graph is built and robust-pruned, and the adjacency lists of
 a node's shards are united. Every node is then searched in its home shard: greedy from the
 shard's medoid and its own list, widening to all neighbours of whatever lies within the
-range. Links are verified in double precision. ``audit_recall`` measures what was missed.
+range. A shard that pivots do not split is compared in full, in blocks of two bounded parts.
+Links are verified in double precision. ``audit_recall`` measures what was missed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ PIVOTS = 64
 LEVELS = 5
 #: A node also joins shards whose pivot is nearly as close as the closest one.
 MARGIN = 0.12
+#: Of two pivots that are closer than this, one is enough.
+CLOSE = 0.88
+#: A split has so many times the rows of its shard at most, and its parts above the bound so
+#: large a share of them.
+OVERLAP = 4
+SHRUNK = 0.75
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 24
@@ -44,32 +51,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _pivots(vectors: list) -> np.ndarray:
+    """The pivots that are not close to one before them."""
+    x = _unit(np.array(vectors, float))
+    kept: list[int] = []
+    for k in range(len(x)):
+        if not kept or (x[kept] @ x[k]).max() < CLOSE:
+            kept.append(k)
+    return x[kept]
+
+
 def _assign(margin: float):
-    """Rows with the pivots of their shard -> rows of its parts; the closest part is home."""
+    """Rows with the pivots of their shard -> rows with the parts they go to, the closest first."""
 
     def run(batches):
         import pyarrow as pa
 
+        known: tuple = (None, None)
         for batch in batches:
-            shards, ids, vectors, homes = [], [], [], []
-            for shard, i, v, home, pivots in zip(*(batch.column(c).to_pylist() for c in ("shard", "i", "v", "home", "pivots"))):
-                p, x = _unit(np.array(pivots, float)), _unit(np.array([v], float))[0]
-                cos = p @ x
+            parts = []
+            for shard, v, pivots in zip(*(batch.column(c).to_pylist() for c in ("shard", "v", "pivots"))):
+                if known[0] != shard:
+                    known = shard, _pivots(pivots)
+                cos = known[1] @ _unit(np.array([v], float))[0]
                 best = int(cos.argmax())
-                for k in np.flatnonzero(cos >= cos[best] - margin).tolist():
-                    shards.append(f"{shard}/{k}")
-                    ids.append(i)
-                    vectors.append(v)
-                    homes.append(bool(home and k == best))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(ids, pa.int64()), pa.array(vectors, pa.list_(pa.float64())), pa.array(homes, pa.bool_())],
-                                             names=["shard", "i", "v", "home"])
+                parts.append([best, *(k for k in np.flatnonzero(cos >= cos[best] - margin).tolist() if k != best)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "i", "v", "home")), pa.array(parts, pa.list_(pa.int32()))], names=["shard", "i", "v", "home", "ks"])
 
     return run
 
 
 def _cluster(nodes: DataFrame, most: int) -> DataFrame:
     """(shard, i, v, home): splits shards of more than ``most`` nodes around sampled pivots, level
-    by level. A shard that a level does not shrink (close copies of one vector) stays whole."""
+    by level. A split that multiplies its shard's rows by more than OVERLAP, or leaves a part
+    above ``most`` that has more than SHRUNK of them (close copies of one vector, or vectors
+    equally far from all pivots), is not made: the shard stays whole and above ``most``."""
     rows = nodes.select(F.col("g").alias("shard"), "i", "v", F.lit(True).alias("home"))
     done = None
     for level in range(LEVELS):
@@ -87,11 +103,72 @@ def _cluster(nodes: DataFrame, most: int) -> DataFrame:
         few = (pivots.agg(F.sum(F.size("pivots"))).first()[0] or 0) <= BROADCAST_PIVOTS
         whole = rows.join(large, "shard", "left_semi").join(pivots.select("shard"), "shard", "left_anti")
         done = done.unionByName(whole)
-        dealt = rows.join(F.broadcast(pivots) if few else pivots, "shard").mapInArrow(_assign(MARGIN), "shard string, i long, v array<double>, home boolean")
-        rows = checkpoint(dealt)
+        # vectors are copied only for the splits that are made
+        dealt = checkpoint(rows.join(F.broadcast(pivots) if few else pivots, "shard").mapInArrow(_assign(MARGIN), "shard string, i long, v array<double>, home boolean, ks array<int>"))
+        parts = dealt.select("shard", F.explode("ks").alias("k")).groupBy("shard", "k").agg(F.count("*").alias("n"))
+        judged = parts.groupBy("shard").agg(F.sum("n").alias("total"), F.max("n").alias("top")).join(dealt.groupBy("shard").agg(F.count("*").alias("m")), "shard")
+        made = checkpoint(judged.where((F.col("total") <= OVERLAP * F.col("m")) & ((F.col("top") <= most) | (F.col("top") <= SHRUNK * F.col("m")))).select("shard"))
+        done = done.unionByName(dealt.join(made, "shard", "left_anti").drop("ks"))
+        rows = dealt.join(made, "shard", "left_semi").select("shard", "i", "v", "home", F.posexplode("ks").alias("at", "k"))
+        rows = checkpoint(rows.select(F.concat_ws("/", "shard", F.col("k").cast("string")).alias("shard"), "i", "v", (F.col("home") & (F.col("at") == 0)).alias("home")))
     return rows if done is None else done.unionByName(rows)
 
 
+def _clumps(shards: DataFrame, large: DataFrame, nodes: DataFrame, most: int, least: float) -> DataFrame:
+    """Shards above ``most`` in disjoint parts of about ``most`` by a hash; every two parts meet in a
+    task of their own and are compared in full. (kind, a, b): links of two home nodes are not
+    listed but counted (0: node, copies it links with) and spanned (1: node, smaller node of
+    its component); those of a home node with another are listed (2)."""
+    rows = shards.join(large, "shard").join(nodes.select("i", "times"), "i").withColumn("k", F.ceil(F.col("m") / most).cast("int"))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64(F.lit("part"), "i"), F.col("k")).cast("int")).withColumn("q", F.explode(F.expr("sequence(0, k - 1)")))
+    blocks = rows.select("shard", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "i", "v", "home", "times")
+    return blocks.groupBy("shard", "lo", "hi").applyInArrow(_block(least), "kind int, a long, b long")
+
+
+def _block(least: float):
+    def run(key, table):
+        import pyarrow as pa
+
+        lo, hi = (int(k.as_py()) for k in key[1:])
+        order = np.argsort(table.column("i").to_numpy(), kind="stable")
+        ids = table.column("i").to_numpy()[order]
+        x = _unit(_matrix(table.column("v")))[order]
+        home = np.array(table.column("home").to_pylist(), bool)[order]
+        times = table.column("times").to_numpy()[order]
+        first = table.column("p").to_numpy()[order] == lo
+        rows = np.flatnonzero(first)
+        columns = rows if lo == hi else np.flatnonzero(~first)
+        others, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        y = x[columns]
+        for start in range(0, len(rows), 256):
+            r = rows[start : start + 256]
+            ok = x[r] @ y.T >= least
+            if lo == hi:
+                ok &= columns[None, :] > r[:, None]
+            inner = ok & home[r][:, None] & home[columns][None, :]
+            others[r] += inner @ times[columns]
+            others[columns] += times[r] @ inner
+            for k in np.flatnonzero(inner.any(axis=1)).tolist():
+                met = label[columns[inner[k]]]
+                low, high = min(int(met.min()), int(label[r[k]])), max(int(met.max()), int(label[r[k]]))
+                if low != high:
+                    old = np.zeros(len(ids), bool)
+                    old[met] = old[label[r[k]]] = True
+                    label[old[label]] = low
+            ok &= home[r][:, None] != home[columns][None, :]
+            i, j = np.nonzero(ok)
+            u, v = ids[r[i]], ids[columns[j]]
+            a.append(np.minimum(u, v))
+            b.append(np.maximum(u, v))
+        some, tied = np.flatnonzero(others), np.flatnonzero(label != np.arange(len(ids)))
+        a, b = np.concatenate(a), np.concatenate(b)
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(some), len(tied), len(a)])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids[some], ids[tied], a])), "b": pa.array(np.concatenate([others[some], ids[label[tied]], b]))})
+
+    return run
+
+
 def _prune(order: np.ndarray, cos_row: np.ndarray, x: np.ndarray) -> list[int]:
     """Robust pruning: the closest candidate stays and drops those that it is closer to, by
     ALPHA, than the node is."""
@@ -203,13 +280,25 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     good = base.where("g IS NOT NULL")
     nodes = checkpoint(good.groupBy("g", "v").agg(F.min("i").alias("i"), F.count("*").alias("times")))
     shards = checkpoint(_cluster(nodes, shard))
+    large = shards.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > shard)
+    clumped = None
+    if not large.isEmpty():
+        clumped = checkpoint(_clumps(shards, large, nodes, shard, least))
+        shards = shards.join(large, "shard", "left_anti")
     near = shards.select("shard", "i", "v").groupBy("shard").applyInArrow(_build, "i long, near array<long>")
     united = near.groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = shards.join(united, "i").groupBy("shard").applyInArrow(_search(least), "a long, b long")
+    if clumped is not None:
+        found = found.unionByName(clumped.where("kind = 2").select("a", "b"))
     pairs = checkpoint(found.distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    count = both.join(nodes.select(F.col("i").alias("b"), "times"), "b").groupBy(F.col("a").alias("ni")).agg(F.sum("times").alias("others"))
-    parts = connected_components(pairs)
+    linked = both.join(nodes.select(F.col("i").alias("b"), "times"), "b").select("a", "times")
+    links = pairs
+    if clumped is not None:
+        linked = linked.unionByName(clumped.where("kind = 0").select("a", F.col("b").alias("times")))
+        links = pairs.unionByName(clumped.where("kind = 1").select("a", "b"))
+    count = linked.groupBy(F.col("a").alias("ni")).agg(F.sum("times").alias("others"))
+    parts = connected_components(links)
     answer = (
         nodes.join(count, nodes["i"] == count["ni"], "left").join(parts, nodes["i"] == parts["id"], "left")
         .select(F.col("g").alias("ng"), F.col("v").alias("nv"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "i").alias("c"))

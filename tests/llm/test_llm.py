@@ -288,6 +288,36 @@ def test_embeddings(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_clump_above_the_shard_size(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEVELS", 1)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(2, 16))
+    rows = [(k, (centre[0] + rng.normal(size=16) * (0.05 if k < 200 else 0.3)).tolist(), 0) for k in range(300)]
+    rows += [(k, (centre[1] + rng.normal(size=16) * 0.02).tolist(), 0) for k in range(300, 320)] + [(400, rows[5][1], 0), (401, rows[5][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    want = plain_links({r[0]: set(np.flatnonzero(link[k]).tolist()) for k, r in enumerate(rows)}, [r[0] for r in rows])
+    nodes = df.where("vec_id < 300").selectExpr("'0' AS g", "vec_id AS i", "cast(embedding AS array<double>) AS v")
+    assert neardup._cluster(nodes, 40).count() <= neardup.OVERLAP * 300
+    got = neardup.near_duplicates(df, shard=40).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(link[k].sum()), want[i]) for k, i in enumerate(r[0] for r in rows)}
+
+
+def plain_links(near, ids):
+    out = {}
+    for i in ids:
+        todo = [] if i in out else [i]
+        while todo:
+            j = todo.pop()
+            if j not in out:
+                out[j] = i
+                todo += [ids[k] for k in near[j]]
+    return out
+
+
 # --- language, toxicity
 
 
