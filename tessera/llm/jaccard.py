@@ -468,10 +468,18 @@ def _answer(docs, id_col, rows, classes, parts) -> DataFrame:
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each group, as it came."""
-    found = jaccard_components(docs, id_col=id_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stays")).distinct()
-    return docs.join(found, docs[id_col] == found["__stays"], "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The document with the smallest id of each group, as it came; a null id comes last.
+
+    Each pair of id and text is a document of its own, known by a 64-bit hash: rows that share
+    an id but not the text are compared like any others, and so are rows without an id. Of
+    rows equal in id and text one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(docs[id_col], docs[text_col]))
+    parts = jaccard_components(keyed.select("__key", text_col), id_col="__key", text_col=text_col, **options).select("__key", "component_id").distinct()
+    named = keyed.select("__key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("i"), F.col("__key").alias("k")).alias("x"))
+    stays = named.join(parts, "__key").groupBy("component_id").agg(F.min("x").alias("x")).select(F.col("x.k").alias("__stays"))
+    return keyed.join(stays, keyed["__key"] == stays["__stays"], "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -260,6 +260,16 @@ def test_jaccard(spark, monkeypatch, group):
     assert jaccard.jaccard_components(df.where("false")).count() == 0
 
 
+def test_keep_one_without_ids_and_with_shared_ids(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["a"] + " x"), (None, text["b"]), (3, text["c"]), (5, text["c"] + " y"), (5, text["d"]), (5, text["d"]), (9, text["b"] + " z"), (None, None)]
+    got = jaccard.keep_one(frame(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    alike = [r["text"] for r in got if r["text"] and r["text"].startswith("a0 ")]
+    assert len(alike) == 1 and alike[0] in (text["a"], text["a"] + " x")
+    rest = Counter((r["doc_id"], r["text"]) for r in got if r["text"] not in alike)
+    assert rest == Counter([(3, text["c"]), (5, text["d"]), (9, text["b"] + " z"), (None, None)])
+
+
 # --- embeddings
 
 
