@@ -101,14 +101,15 @@ def log_ratio(run: str, ratios: list[float]) -> str:
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", least: float = LEAST_RATIO, per_character: float = LEAST_PER_CHARACTER) -> DataFrame:
     """``docs`` with _base and _all: sorted arrays of spans in code points, end exclusive.
 
-    A null or empty text has none. Runs that touch a span of the fixed patterns are left to
-    it. Rows are judged alone, without a shuffle.
+    A null or empty text has none. A run inside a span of the fixed patterns is left to it;
+    one that reaches beyond is judged as a whole, so spans may overlap. Rows are judged alone,
+    without a shuffle.
     """
     out = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumn("_base", F.expr(f"""array_sort(concat({_spans('_t', ASSIGN, 'assign', 'length(z.value) >= 12', 1)},
         {_spans('_t', ACCESS, 'access')}, {_spans('_t', HEX, 'hex')}))"""))
     out = out.withColumn("_runs", F.expr(_spans("_t", RUN, "markov")))
-    free = "filter(_runs, r -> NOT exists(_base, b -> b.start < r.end AND r.start < b.end))"
+    free = "filter(_runs, r -> NOT exists(_base, b -> b.start <= r.start AND r.end <= b.end))"
     ratio = log_ratio("r.value", ratios)
     out = out.withColumn("_more", F.expr(f"filter({free}, r -> {ratio} >= greatest({least}D, {per_character}D * length(r.value)))"))
     return out.withColumn("_all", F.expr("array_sort(concat(_base, _more))")).drop("_t", "_runs", "_more")
@@ -125,7 +126,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", ratios: list[float] | None = None, length_col: str | None = None) -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; texts without spans stay as they are.
+    """``docs`` with every span replaced by ``mark``, overlapping ones by one; texts without spans stay as they are.
     ``length_col`` names a column that holds the texts' length and follows them."""
     ratios = ratios or train(docs, id_col, text_col)
     # the row is packed, so that no column's name can clash

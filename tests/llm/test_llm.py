@@ -138,6 +138,15 @@ def test_secrets(spark, docs):
     assert "AKIA" not in texts[7] and "0123" not in texts[7]
 
 
+def test_secrets_redact_a_key_around_hex(spark, docs):
+    key = "qZ7RkT9wXb4N" + "9f3ac07be41d58a62f07" + "Xv3PmL8yQdK2"
+    df = frame(spark, [(1, f"the key {key} is here", "en", "a")])
+    ratios = secrets.train(docs)
+    got = secrets.scan_documents(df, ratios=ratios).first()
+    assert got["n_hex"] == 1 and got["spans"] == "markov:8:52,hex:20:40"
+    assert secrets.redact(df, ratios=ratios).first()["text"] == "the key [secret] is here"
+
+
 # --- sharding
 
 
