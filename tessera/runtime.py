@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch: what a worker and its task hold of long texts at once.
+ARROW_BYTES = "16m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (once per application)."""
+    """Make this package importable in Python workers (once per application), and bound the bytes
+    of an Arrow batch where the session has Spark's default for them."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -30,12 +37,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; set one of our own only where none is set."""
+    """Keep the cluster's checkpoint folder. Only a local session without one gets one of our
+    own: executors on other machines would not see it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        )
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
