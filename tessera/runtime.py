@@ -20,7 +20,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once per application), and bound the bytes
     of an Arrow batch where the session has Spark's default for them."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId in _SHIPPED:
         return
