@@ -7,9 +7,11 @@
 3. Index level: prefix tokens (rare ones first) that two or more sets hold give index lists.
    A list is sorted by set size and position; in each size block only the band of positions
    that a linked pair's common token can have is read, and the rest is skipped. Entries of
-   the same component are skipped too. Pairs with too few common prefix tokens go, and what
-   remains is verified on whole sets. A set's commonest prefix tokens (passages that many
-   texts share) have no lists: fewer are left out than a linked pair has in common.
+   the same component are skipped too. Each set has a small histogram of its tokens; sets
+   whose histograms can't have enough in common go, and so do pairs with too few common
+   prefix tokens. What remains is verified on whole sets. A set's commonest prefix tokens
+   (passages that many texts share) have no lists: fewer are left out than a linked pair has
+   in common.
 
 A prefix leaves out the last ceil(t n) - l tokens of n, with l = 1 + n // 10: a linked pair has
 at least l of the smaller set's common tokens in both prefixes, whatever the order of
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm.text_arrow import chunks
 from tessera.runtime import checkpoint, connected_components, read_table, ship_package
 
-#: Places of the id filter that is sent to executors: 2^22 bits, half a megabyte, at any size.
-FILTER_BITS = 22
+#: Places of the id filters that are sent to executors: eight for each id, 2^26 (8 MB) at most.
+FILTER_BITS = 26
+FILTER_LEAST = 16
 #: Most members of a group that is compared in one task; larger ones are split.
 GROUP = 4000
 LIST = 2048
@@ -55,7 +58,7 @@ def _signatures(width: int):
         import pyarrow as pa
         import xxhash
 
-        from tessera.llm.shingles import min_hashes, shingle_sets
+        from tessera.llm.shingles import histogram, min_hashes, shingle_sets
 
         for batch in batches:
             for part, texts in chunks(batch, "t"):
@@ -71,41 +74,57 @@ def _signatures(width: int):
                     pa.array([len(s) for s in sets] + count.tolist(), pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets] + [None] * h, pa.binary()),
                     pa.array(sig + [[x] for x in heavy.tolist()], pa.list_(pa.int64())),
-                ], names=["i", "n", "fp", "sig"])
+                    pa.array([histogram(s) for s in sets] + [None] * h, pa.binary()),
+                ], names=["i", "n", "fp", "sig", "hist"])
 
     return run
 
 
-def _filter(keys: DataFrame) -> bytes:
-    """Bits set at the places of hashed keys (h); a fixed size, so false hits only grow with the
-    input. At most 2^16 words reach the driver."""
-    words = keys.select(F.expr("cast(h div 64 AS INT)").alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words:
-        table[r["w"]] = r["b"]
-    return table.tobytes()
+class IdFilter:
+    """Bits at the places of hashed keys: false hits, no misses. At most 2^20 words reach the driver."""
+
+    def __init__(self, places: DataFrame):
+        """``places`` has the column h, from 0 to 2^FILTER_BITS."""
+        bits = min(FILTER_BITS, max(FILTER_LEAST, (8 * places.count()).bit_length()))
+        self.shift = FILTER_BITS - bits
+        words = places.select(F.expr(f"shiftright(h, {self.shift})").alias("h")).select(F.expr("cast(shiftright(h, 6) AS INT)").alias("w"), F.expr("shiftleft(1L, cast(h & 63 AS INT))").alias("b"))
+        got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        self.table = np.zeros(1 << (bits - 6), np.int64)
+        self.table[got.column("w").to_numpy()] = got.column("b").to_numpy()
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        h = h >> self.shift
+        return ((self.table[h >> 6] >> (h & 63)) & 1).astype(bool)
 
 
 def _place(*columns) -> F.Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
 
 
+def _sent(keys: DataFrame):
+    return keys.sparkSession.sparkContext.broadcast(IdFilter(keys))
+
+
+def _asked(batches, wanted):
+    """The rows of each batch whose place (h) may be wanted, in chunks of whole texts."""
+    import pyarrow as pa
+
+    for batch in batches:
+        batch = batch.filter(pa.array(wanted.value(batch.column("h").to_numpy(zero_copy_only=False))))
+        yield from chunks(batch, "t")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(i, s): the sets of the texts whose ids may be among ``ids``; the rest isn't shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids.select(_place("i").alias("h"))))
+    wanted = _sent(ids.select(_place("i").alias("h")))
 
     def run(batches):
         import pyarrow as pa
 
         from tessera.llm.shingles import shingle_sets
 
-        table = np.frombuffer(bits.value, np.int64)
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            hit = (table[h // 64] >> (h % 64)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            for part, texts in chunks(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["i", "s"])
+        for part, texts in _asked(batches, wanted):
+            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["i", "s"])
 
     return docs.select("i", "t", _place("i").alias("h")).mapInArrow(run, "i long, s binary")
 
@@ -121,31 +140,24 @@ def part_of(i: int, n: int) -> int:
 def _grouped_sets(docs: DataFrame, nodes: DataFrame, hot: dict, width: int) -> DataFrame:
     """(g, part, i, s): the sets of the texts of ``nodes`` (i, v), once for each minimum hash that
     the nodes name; groups in ``hot`` are dealt over parts by the id."""
-    sc = docs.sparkSession.sparkContext
-    bits = sc.broadcast(_filter(nodes.select(F.pmod("v", F.lit(1 << FILTER_BITS)).alias("h"))))
-    ids = sc.broadcast(_filter(nodes.select(_place("i").alias("h"))))
-    parts = sc.broadcast(hot)
+    named = _sent(nodes.select(F.pmod("v", F.lit(1 << FILTER_BITS)).alias("h")).distinct())
+    wanted = _sent(nodes.select(_place("i").alias("h")))
+    parts = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         import pyarrow as pa
 
         from tessera.llm.shingles import min_hashes, shingle_sets
 
-        table, wanted = np.frombuffer(bits.value, np.int64), np.frombuffer(ids.value, np.int64)
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(((wanted[h // 64] >> (h % 64)) & 1).astype(bool)))
-            for part, texts in chunks(batch, "t"):
-                sets = shingle_sets(texts, width)
-                out = []
-                for i, s, sig in zip(part.column("i").to_pylist(), sets, min_hashes(sets, HASHES)):
-                    for v in sig:
-                        h = v % (1 << FILTER_BITS)
-                        if (int(table[h // 64]) >> (h % 64)) & 1:
-                            n = parts.value.get(v, 1)
-                            out.append((v, part_of(i, n), i, s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()),
-                                                  pa.array([x[3] for x in out], pa.binary())], names=["g", "part", "i", "s"])
+        for part, texts in _asked(batches, wanted):
+            sets = shingle_sets(texts, width)
+            out = []
+            for i, s, sig in zip(part.column("i").to_pylist(), sets, min_hashes(sets, HASHES)):
+                for v, hit in zip(sig, named.value(np.array(sig, np.int64) % (1 << FILTER_BITS))):
+                    if hit:
+                        out.append((v, part_of(i, parts.value.get(v, 1)), i, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()),
+                                              pa.array([x[3] for x in out], pa.binary())], names=["g", "part", "i", "s"])
 
     return docs.select("i", "t", _place("i").alias("h")).mapInArrow(run, "g long, part int, i long, s binary")
 
@@ -222,7 +234,7 @@ def _envoys(label: DataFrame, members: DataFrame) -> DataFrame:
     return few.select("v", F.explode(F.array(*[f"i{k}" for k in range(ENVOYS)])).alias("i")).where("i IS NOT NULL").select("i", "v")
 
 
-def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
+def _prefixes(width: int, percent: int, heavy: dict, buckets: int, wanted):
     def run(batches):
         import pyarrow as pa
 
@@ -231,36 +243,35 @@ def _prefixes(width: int, percent: int, heavy: dict, buckets: int):
         keys = np.array(sorted(heavy.value), np.int64).astype(np.uint64)
         keys.sort()
         rank = np.array([heavy.value[int(np.int64(k.astype(np.int64)))] for k in keys], np.int64)
-        for batch in batches:
-            for part, texts in chunks(batch, "t"):
-                tokens, places, sizes = [], [], []
-                for s in shingle_sets(texts, width):
-                    n = len(s)
-                    sizes.append(n)
-                    if not n:
-                        continue
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                        often = keys[at] == s
-                        if often.any():
-                            s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
-                    pre = s[: n - (-(-percent * n // 100)) + least(n)]
-                    tokens.append(pre)
-                    places.append(np.arange(len(pre), dtype=np.int64) * 4096 // n)
-                size = np.array(sizes, np.int64)
-                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-                doc = np.repeat(np.flatnonzero(size), [len(x) for x in tokens])
-                # the token's upper 52 bits, and its place in 4096ths of the set
-                packed = (flat & ~np.uint64(4095)) | (np.concatenate(places).astype(np.uint64) if places else flat)
-                bucket = ((flat >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(doc * buckets + bucket, kind="stable")
-                key = (doc * buckets + bucket)[order]
-                cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                owner = key[cut] // buckets
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(packed[order].astype(np.int64)))
-                ids = part.column("i").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array((key[cut] % buckets).astype(np.int32)), pa.array(ids[owner]), pa.array(size[owner].astype(np.int32)), lists],
-                                                 names=["bucket", "i", "n", "tokens"])
+        for part, texts in _asked(batches, wanted):
+            tokens, places, sizes = [], [], []
+            for s in shingle_sets(texts, width):
+                n = len(s)
+                sizes.append(n)
+                if not n:
+                    continue
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    often = keys[at] == s
+                    if often.any():
+                        s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
+                pre = s[: n - (-(-percent * n // 100)) + least(n)]
+                tokens.append(pre)
+                places.append(np.arange(len(pre), dtype=np.int64) * 4096 // n)
+            size = np.array(sizes, np.int64)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            doc = np.repeat(np.flatnonzero(size), [len(x) for x in tokens])
+            # the token's upper 52 bits, and its place in 4096ths of the set
+            packed = (flat & ~np.uint64(4095)) | (np.concatenate(places).astype(np.uint64) if places else flat)
+            bucket = ((flat >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(doc * buckets + bucket, kind="stable")
+            key = (doc * buckets + bucket)[order]
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            owner = key[cut] // buckets
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(packed[order].astype(np.int64)))
+            ids = part.column("i").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array((key[cut] % buckets).astype(np.int32)), pa.array(ids[owner]), pa.array(size[owner].astype(np.int32)), lists],
+                                             names=["bucket", "i", "n", "tokens"])
 
     return run
 
@@ -289,64 +300,67 @@ def _shared_tokens(table):
                      "n": pa.array(table.column("n").to_numpy()[row[keep]], pa.int32()), "p": pa.array((flat[keep] & 4095).astype(np.int32)), "m": pa.array(many.astype(np.int32))})
 
 
-def _summed(parts: list) -> np.ndarray:
-    """Rows (a, b, na, nb, k) with k summed for each pair."""
-    if not parts:
-        return np.zeros((0, 5), np.int64)
-    rows = np.concatenate(parts)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
-    out = rows[first]
-    out[:, 4] = np.add.reduceat(rows[:, 4], first)
-    return out
-
-
 def _pairs(percent: int):
     """(a, b, na, nb, k): pairs of different components and their common tokens in a bucket."""
 
     def run(key, table):
         import pyarrow as pa
-
-        def column(name):
-            return table.column(name).to_numpy()
-
-        w, lo, hi, c = column("w"), column("lo"), column("hi"), column("c")
-        order = np.lexsort((column("i"), column("p"), column("n"), hi, lo, w))
-        w, lo, hi, c = w[order], lo[order], hi[order], c[order]
+        import pyarrow.compute as pc
+
+        from tessera.llm.shingles import Histograms
+
+        ids, size_of, part_of_row = (table.column(x).to_numpy() for x in ("i", "n", "c"))
+        size_of = size_of.astype(np.int64)
+        postings = table.column("l").combine_chunks()
+        row = pc.list_parent_indices(postings).to_numpy(zero_copy_only=False)
+        w, lo, hi, blk, p = (x.to_numpy(zero_copy_only=False) for x in postings.flatten().flatten())
+        hists = Histograms(table.column("hist"))
+        groups = np.zeros((len(ids), HASHES), np.int64)
+        for k, gs in enumerate(table.column("gs").to_pylist()):
+            if gs:
+                groups[k, : len(gs)] = gs
+        order = np.lexsort((ids[row], p, size_of[row], hi, lo, w))
+        row, w, lo, hi, blk, p = (x[order] for x in (row, w, lo, hi, blk, p))
         starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(w) else np.zeros(0, np.int64)
-        out, held = [], [0]
+        out: list = []
+        held = [0]
+
+        def summed() -> np.ndarray:
+            """Rows (row, row, common tokens) of the pairs met so far that can link."""
+            if not out:
+                return np.zeros((0, 3), np.int64)
+            met = np.concatenate(out)
+            pair, at = np.unique(met[:, 0] * len(ids) + met[:, 1], return_inverse=True)
+            x, y, k = pair // len(ids), pair % len(ids), np.bincount(at, weights=met[:, 2]).astype(np.int64)
+            need = -(-percent * (size_of[x] + size_of[y]) // (100 + percent))
+            ok = hists.most(x, y) >= need
+            return np.column_stack([x[ok], y[ok], k[ok]])
+
         if len(starts):
             size = np.diff(np.append(starts, len(w)))
+            c = part_of_row[row]
             mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
             rows = np.repeat(mixed, size)  # lists of one component give nothing
-            order, lo, hi, c = order[rows], lo[rows], hi[rows], c[rows]
-            ids, n, p, blk = (column(x)[order] for x in ("i", "n", "p", "blk"))
-            groups = np.zeros((len(order), HASHES), np.int64)
-            kept = table.column("gs").combine_chunks().take(pa.array(order)) if len(order) else []
-            for k, gs in enumerate(kept):
-                if gs.is_valid:
-                    got = gs.as_py()
-                    groups[k, : len(got)] = got
+            row, lo, hi, blk, p, c = row[rows], lo[rows], hi[rows], blk[rows], p[rows], c[rows]
+            n = size_of[row]
             size = size[mixed]
             starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
 
             def keep(x, y):
-                """Pairs of rows (x sorted before y) that may link and weren't compared."""
-                b, a, q, r = n[x].astype(np.int64), n[y].astype(np.int64), p[x].astype(np.int64), p[y].astype(np.int64)
+                """Pairs of postings (x sorted before y) that may link and weren't compared."""
+                b, a, q, r = n[x], n[y], p[x].astype(np.int64), p[y].astype(np.int64)
                 need = -(-percent * (a + b) // (100 + percent))
                 # places in tokens, at least and at most; either set lacks at most so many tokens
                 ok = (c[x] != c[y]) & (100 * b >= percent * a) & ((r + 1) * a // 4096 + 1 + (b - need) >= q * b // 4096) & ((q + 1) * b // 4096 + 1 + (a - need) >= r * a // 4096)
                 ok &= (lo[x] == hi[x]) | (blk[x] != blk[y])
-                x, y = x[ok], y[ok]
-                met = ((groups[x][:, :, None] == groups[y][:, None, :]) & (groups[x] != 0)[:, :, None]).any(axis=(1, 2))
-                x, y = x[~met], y[~met]
-                swap = ids[x] > ids[y]
-                u, v = np.where(swap, y, x), np.where(swap, x, y)
+                u, v = row[x[ok]], row[y[ok]]
+                met = ((groups[u][:, :, None] == groups[v][:, None, :]) & (groups[u] != 0)[:, :, None]).any(axis=(1, 2))
+                u, v = u[~met], v[~met]
                 if len(u):
-                    out.append(np.column_stack([ids[u], ids[v], n[u], n[v], np.ones(len(u), np.int64)]))
+                    out.append(np.column_stack([np.minimum(u, v), np.maximum(u, v), np.ones(len(u), np.int64)]))
                     held[0] += len(u)
                     if held[0] > PAIRS_HELD:
-                        out[:] = [_summed(out)]
+                        out[:] = [summed()]
                         held[0] = len(out[0]) // 2  # summed rows are half as pressing
 
             for m in np.unique(size).tolist():
@@ -379,8 +393,11 @@ def _pairs(percent: int):
                         if x:
                             x = np.concatenate(x)
                             keep(x, np.full(len(x), s + k))
-        got = _summed(out)
-        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1]), "na": pa.array(got[:, 2].astype(np.int32)), "nb": pa.array(got[:, 3].astype(np.int32)), "k": pa.array(got[:, 4])})
+        got = summed()
+        u, v = got[:, 0], got[:, 1]
+        swap = ids[u] > ids[v]
+        u, v = np.where(swap, v, u), np.where(swap, u, v)
+        return pa.table({"a": pa.array(ids[u]), "b": pa.array(ids[v]), "na": pa.array(size_of[u].astype(np.int32)), "nb": pa.array(size_of[v].astype(np.int32)), "k": pa.array(got[:, 2])})
 
     return run
 
@@ -411,7 +428,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship_package(spark)
     picked = _pick(docs, id_col, text_col)
-    light = checkpoint(picked.mapInArrow(_signatures(width), "i long, n long, fp binary, sig array<long>"))
+    light = checkpoint(picked.mapInArrow(_signatures(width), "i long, n long, fp binary, sig array<long>, hist binary"))
     rows = light.where("i IS NOT NULL")
     top = light.where("i IS NULL").select(F.col("sig")[0].alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(HEAVY_MOST).collect()
     heavy = spark.sparkContext.broadcast({r["w"]: k for k, r in enumerate(reversed(top))})
@@ -431,21 +448,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     group = F.xxhash64("v", F.pmod(F.xxhash64("i"), F.expr(f"cast(ceil(c / {GROUP}) AS BIGINT)")))
     groups = members.groupBy("i").agg(F.collect_set(group).alias("gs"))
     label = checkpoint(label.select("i", "c").join(groups, "i", "left"))
-    # index level
-    total = int(full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # index level: only representatives have lists
+    total = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     buckets = max(32, total // 4_000_000)
-    posted = picked.mapInArrow(_prefixes(width, percent, heavy, buckets), "bucket int, i long, n int, tokens array<long>")
+    wanted = _sent(reps.select(_place("i").alias("h")))
+    posted = picked.select("i", "t", _place("i").alias("h")).mapInArrow(_prefixes(width, percent, heavy, buckets, wanted), "bucket int, i long, n int, tokens array<long>")
     lists = posted.groupBy("bucket").applyInArrow(_shared_tokens, "w long, i long, n int, p int, m int")
     # fewer than least() of any set that can link are left out, so a pair's rarest common token stays
     common = Window.partitionBy("i").orderBy(F.desc("m"), "w")
-    lists = lists.withColumn("r", F.dense_rank().over(common)).where(F.expr(f"r > (n * {percent} div 100) div 16")).drop("r").join(label, "i")
+    lists = lists.withColumn("r", F.dense_rank().over(common)).where(F.expr(f"r > (n * {percent} div 100) div 16")).drop("r")
     spread = (  # a long list is cut into blocks, and each pair of blocks is a list
         lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
-        .select("w", "i", "n", "p", "c", "gs", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+        .select("w", "i", "n", "p", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
         .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(max(6, total // BUCKET))).cast("int"))
     )
-    pairs = spread.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    packed = spread.groupBy("i", "n", "bucket").agg(F.collect_list(F.struct("w", "lo", "hi", "blk", "p")).alias("l"))
+    # an id with several texts has no histogram of its own
+    hists = full.groupBy("i").agg(F.when(F.min("fp") == F.max("fp"), F.first("hist")).alias("hist"))
+    packed = packed.join(label.join(hists, "i"), "i")
+    pairs = packed.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 10 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()

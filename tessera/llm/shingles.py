@@ -64,3 +64,51 @@ def min_hashes(sets: list[np.ndarray], n: int) -> list[list[int]]:
 
 def similar(a: int, b: int, shared: int, percent: int = 75) -> bool:
     return 100 * shared >= percent * (a + b - shared)
+
+
+#: Bins of a histogram: a power of two, at least half of the set's size.
+LEAST_BINS, MOST_BINS = 16, 8192
+
+
+def histogram(s: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes by their lowest bits, a byte each; None if one doesn't fit."""
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << max(0, (len(s) - 1) // 2).bit_length()))
+    count = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None
+
+
+class Histograms:
+    """Histograms of many sets, by number of bins; ``most`` bounds what two sets share."""
+
+    #: Bytes that one comparison step may hold.
+    STEP = 8_000_000
+
+    def __init__(self, column):
+        blobs = column.to_pylist()
+        self.bins = np.array([len(b) if b else 0 for b in blobs], np.int64)
+        self.place = np.zeros(len(blobs), np.int64)
+        self.tables = {}
+        for b in np.unique(self.bins[self.bins > 0]).tolist():
+            at = np.flatnonzero(self.bins == b)
+            self.place[at] = np.arange(len(at))
+            self.tables[b] = np.frombuffer(b"".join(blobs[k] for k in at.tolist()), np.uint8).reshape(len(at), b)
+
+    def _folded(self, rows: np.ndarray, bins: int, to: int) -> np.ndarray:
+        h = self.tables[bins][self.place[rows]]
+        return h if bins == to else h.reshape(len(rows), bins // to, to).sum(axis=1, dtype=np.uint16)
+
+    def most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For rows x[k] and y[k]: the most that their sets can have in common; where a set has
+        no histogram, a number above all sizes."""
+        out = np.full(len(x), np.iinfo(np.int64).max)
+        kind = self.bins[x] * (2 * MOST_BINS) + self.bins[y]
+        for k in np.unique(kind).tolist():
+            a, b = divmod(k, 2 * MOST_BINS)
+            if not a or not b:
+                continue
+            to, at = min(a, b), np.flatnonzero(kind == k)
+            step = max(1, self.STEP // max(a, b))
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                out[part] = np.minimum(self._folded(x[part], a, to), self._folded(y[part], b, to)).sum(axis=1, dtype=np.int64)
+        return out
