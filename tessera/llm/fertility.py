@@ -217,41 +217,49 @@ def quality_rules(
     return out.select(*[out[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)], *[out[n].alias(f"q_{n}" if n in taken else n) for n in names])
 
 
-def _judge(docs, id_col="doc_id", text_col="text", pieces=PIECES, byte_level=BYTES, bands=None, min_words=50, carry=True):
-    """The rows with their figures, input columns as c0, c1, ... so that no names clash."""
+def _judge(docs, id_col="doc_id", text_col="text", pieces=PIECES, byte_level=BYTES, bands=None, min_words=50, carry=True, good_only=False):
+    """The rows with their figures, input columns as c0, c1, ... so that no names clash; each column
+    goes to Python once. With ``good_only`` the kept rows alone come back, without figures."""
     ship_package(docs.sparkSession)
     bands = bands or BANDS
     whole = pieces, byte_level
+    if carry:
+        first = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
+        text, back = f"c{docs.columns.index(text_col)}", first.columns
+    else:
+        first = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"))
+        text, back = "t", ["i"]
 
     def run(batches):
         if whole not in _STATE:
             _STATE[whole] = Fertility(*(p if "/" in p else public_tokenizers.path(p) for p in whole))
         f = _STATE[whole]
         for batch in batches:
-            for part, texts in chunks(batch, "t", PIECE_BYTES):
+            for part, texts in chunks(batch, text, PIECE_BYTES):
                 m = measure(texts, f)
                 failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
                 kept = ~failed & within_bands(m, bands)
+                if good_only:
+                    yield part.filter(pa.array(kept))
+                    continue
                 longs = [pa.array(m[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for k, c in enumerate(part.columns) if carry or k == 0), *longs, pa.array(failed), pa.array(kept),
-                     pa.array([NAMES[i] for i in m["script"]]),
+                    [*(part.column(c) for c in back), *longs, pa.array(failed), pa.array(kept), pa.array([NAMES[i] for i in m["script"]]),
                      *(pa.array(m[k], pa.float64()) for k in ("chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy"))],
-                    names=[*(c for k, c in enumerate(part.schema.names) if carry or k == 0), *OUT])
+                    names=[*back, *OUT])
 
     OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script",
            "chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy"]
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["string"] + ["double"] * 4
-    first = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), *([docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)] if carry else []))
-    kept_cols = first.schema.fields if carry else first.schema.fields[:1]
-    schema = ", ".join([*(f"{x.name} {x.dataType.simpleString()}" for x in kept_cols), *(f"{n} {k}" for n, k in zip(OUT, kinds))])
+    figures = [] if good_only else [f"{n} {k}" for n, k in zip(OUT, kinds)]
+    schema = ", ".join([*(f"{c} {first.schema[c].dataType.simpleString()}" for c in back), *figures])
     return first.mapInArrow(run, schema), OUT
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    judged, _ = _judge(docs, **options)
-    return judged.where("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    judged, _ = _judge(docs, good_only=True, **options)
+    return judged.toDF(*docs.columns)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
