@@ -1,10 +1,13 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
-The words of a source's documents form one stream, cut into blocks of ``block`` words. Each
-source has slots for its target: whole passes over its blocks and a part of one more. The
-slots of an output shard are drawn from all sources' slots (multinomial counts, given that
-each source's slots are used up exactly), and a slot of a source goes to a block through a
-Feistel permutation of the source and the pass. Blocks and documents meet by block index.
+The words of a source's documents form one stream, cut into blocks of ``block`` words. The
+number of slots that each source gets in an output shard is drawn: what is whole in the
+expected number is dealt, and the slots left over are a multinomial draw over the fractions
+(with ``residual=False`` all slots of the shard are). The slots of a source, counted over the
+shards, walk through its blocks pass by pass; each pass is a Feistel permutation of its own.
+Slots, blocks and documents meet by block index: what is taken of a document is what the
+drawn slots hold of it, so a source misses its target by the drawn fractions, the square root
+of the number of shards or so in blocks, and by its short last block.
 """
 
 from __future__ import annotations
@@ -20,8 +23,11 @@ from tessera.runtime import checkpoint, prefix_sums, read_table, ship_package
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-BLOCK = 256
-#: Slots of one row of the plan at most, so that no task makes a large source's slots alone.
+BLOCK = 128
+#: Slots of an output shard, and output shards at most; beyond it shards have more slots.
+SLOTS_A_SHARD = 8192
+MOST_SHARDS = 1024
+#: Slots that a task makes at once, so that no task makes a large source's slots alone.
 SLOTS_A_ROW = 50_000
 MAX_SOURCES = 100_000
 
@@ -72,85 +78,80 @@ def permute(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(sizes: list[int], goal: list[float], block: int = BLOCK, shards: int = 64, seed: int = 0) -> list[tuple[int, int, int, int, int]]:
-    """Rows (output shard, source, pass, first place, places) of the slots of each source.
+def plan(sizes: list[int], goal: list[float], block: int = BLOCK, shards: int | None = None, seed: int = 0, most: float = MOST, residual: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """Rows (output shard, source, its first slot, slots, first place in the shard) of the draw.
 
-    A pass over a source has its whole blocks at places 0.. and the short rest last.
+    No source gets more slots than ``most`` passes over its blocks have; what is drawn beyond
+    that is drawn again among the others.
     """
     rng = np.random.default_rng(seed)
-    places = [[-(-s // block)] * int(g // s) + ([-(-int(round(g - g // s * s)) // block)] if s and round(g - g // s * s) else []) if s else [] for s, g in zip(sizes, goal)]
-    left = np.array([sum(p) for p in places], np.int64)
-    total = int(left.sum())
-    shards = max(1, min(shards, total))
-    done = [0] * len(sizes)
+    size = np.array(sizes, float)
+    blocks = np.array([-(-s // block) for s in sizes], np.int64)
+    want = np.where(blocks > 0, np.array(goal, float) * blocks / np.maximum(size, 1), 0.0)
+    room = np.floor(most * blocks).astype(np.int64)
+    total = min(int(round(want.sum())), int(room.sum()))
+    if not total:
+        return []
+    shards = max(1, min(shards or total // SLOTS_A_SHARD, total, MOST_SHARDS))
+    done = np.zeros(len(sizes), np.int64)
     out = []
     for k in range(shards):
-        draw = total // shards + (k < total % shards)
-        got = _draw(rng, left, draw)
-        left = left - got
-        for i, n in enumerate(got.tolist()):
-            while n:
-                at, p = done[i], 0
-                while at >= places[i][p]:
-                    at -= places[i][p]
-                    p += 1
-                m = min(n, places[i][p] - at, SLOTS_A_ROW)
-                out.append((k, i, p, at, m))
-                done[i] += m
-                n -= m
+        got = _draw(rng, want, room - done, total // shards + (k < total % shards), residual)
+        at = 0
+        for i in np.flatnonzero(got).tolist():
+            out.append((k, i, int(done[i]), int(got[i]), at))
+            at += int(got[i])
+        done += got
     return out
 
 
-def _draw(rng, left: np.ndarray, n: int) -> np.ndarray:
-    """Multinomial counts for one shard, given what each source still has."""
-    total = int(left.sum())
-    if n >= total:
-        return left.copy()
-    got = rng.multinomial(n, left / total)
-    while (over := np.maximum(got - left, 0)).any():  # more than a source has left: drawn again
-        got = np.minimum(got, left)
-        room = left - got
-        got = got + rng.multinomial(int(over.sum()), room / room.sum())
+def _draw(rng, want: np.ndarray, room: np.ndarray, n: int, residual: bool) -> np.ndarray:
+    """Counts of one shard: ``n`` slots in proportion to ``want``, none beyond ``room``."""
+    got = np.zeros(len(want), np.int64)
+    while n:
+        share = np.where(room > got, want, 0.0)
+        if not share.any():
+            share = np.maximum(room - got, 0).astype(float)
+        part = n * share / share.sum()
+        new = np.floor(part).astype(np.int64) if residual else np.zeros(len(want), np.int64)
+        left = n - int(new.sum())
+        if left:
+            rest = part - new
+            new = new + rng.multinomial(left, rest / rest.sum() if rest.sum() > 0 else share / share.sum())
+        new = np.minimum(new, room - got)
+        got, n = got + new, n - int(new.sum())
     return got
 
 
-def _slots(passes: dict, block: int, seed: int):
-    """Rows of the plan -> (source, block, words): what each slot takes of its block."""
+def _slots(sizes: list[int], block: int, seed: int):
+    """Rows of the plan -> the block of each slot, and how often its pass has come before."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for shard, s, p, at, m in zip(*(c.to_pylist() for c in batch.columns)):
-                size, rest = passes[s]
-                whole, tail = size // block, size % block
-                place = np.arange(at, at + m, dtype=np.int64)
-                words = np.where(place < whole, block, tail)
-                index = place.copy()
-                inside = place < whole
-                index[inside] = permute(place[inside], whole, f"{seed}:{s}:{p}")
-                length = words
-                if p == rest[0]:  # the pass that ends at the target
-                    words = np.minimum(words, np.maximum(rest[1] - place * block, 0))
+            for shard, s, first, at, m in zip(*(c.to_pylist() for c in batch.columns)):
+                n = -(-sizes[s] // block)
+                slot = np.arange(first, first + m, dtype=np.int64)
+                index = np.concatenate([permute(slot[slot // n == p] % n, n, f"{seed}:{s}:{p}") for p in range(first // n, (first + m - 1) // n + 1)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, shard), pa.int32()), pa.array(np.full(m, s), pa.int32()), pa.array(place), pa.array(index), pa.array(words), pa.array(words == length)],
-                    names=["shard", "source", "place", "block", "words", "full"])
+                    [pa.array(np.full(m, shard), pa.int32()), pa.array(np.arange(at, at + m, dtype=np.int64)), pa.array(np.full(m, s), pa.int32()), pa.array(index),
+                     pa.array((slot // n).astype(np.int32))], names=["shard", "slot", "source", "block", "pass"])
 
     return run
 
 
-def _met(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = 64, seed: int = 0,
+def _met(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int | None = None, seed: int = 0, residual: bool = True,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their source; those with words by block, with the words _from.._to of the
-    block that are theirs, how often it is taken in full and how many of them it gives in
-    part; slots).
+    block that are theirs and how often it is taken; slots: shard, slot, source, block, pass).
 
     Sources sort by code point, null last, and weigh ``weights`` in turn. A document's size is
     its number of words, 0 for a null text, and a document of size 0 is never taken. ``taken``
-    counts repeats and is at most ``most`` (rounded up) times the size; over a source it adds
-    up to the target rounded to whole words. The driver holds the list of sources, at most
-    MAX_SOURCES, never of documents. The order of a source's stream hangs on ids and text
-    digests alone, so reruns agree; equal rows stand next to each other.
+    counts repeats and is at most ``most`` (rounded up) times the size. The driver holds the
+    list of sources, at most MAX_SOURCES, never of documents. The order of a source's stream
+    hangs on ids and text digests alone, so reruns agree; equal rows stand next to each other.
+    A null id or source is a value like others; an empty table gives an empty mix.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -162,16 +163,12 @@ def _met(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     rows.sort(key=lambda r: (r["_src"] is None, str(r["_src"] or "").encode("utf-8", "replace")))
     sizes = [int(r["n"]) for r in rows]
     goal = targets(sizes, weights, share, most)
-    # of each source: its size, and which pass ends at how many words
-    passes = {i: (s, (int(g // s), int(round(g - g // s * s))) if s else (0, 0)) for i, (s, g) in enumerate(zip(sizes, goal))}
     table = spark.createDataFrame([(r["_src"], i, s, g) for i, (r, s, g) in enumerate(zip(rows, sizes, goal))],
                                   f"_name {docs.schema[source_col].dataType.simpleString()}, _n int, source_size long, target double")
-    drawn = plan(sizes, goal, block, shards, seed)
-    drawn = spark.createDataFrame(drawn, "shard int, source int, pass int, at long, m long")
-    slots = drawn.repartition("shard", "source", "at").mapInArrow(_slots(passes, block, seed), "shard int, source int, place long, block long, words long, full boolean")
-    # a block is taken in full so many times, and at most once in part
-    taken = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(
-        F.count(F.when(F.col("full"), 1)).alias("times"), F.max(F.when(~F.col("full"), F.col("words"))).alias("part"))
+    drawn = spark.createDataFrame(plan(sizes, goal, block, shards, seed, most, residual), "shard int, source int, first long, m long, at long")
+    drawn = drawn.withColumn("o", F.explode(F.expr(f"sequence(0L, m - 1, {SLOTS_A_ROW}L)"))).selectExpr("shard", "source", "first + o AS first", "at + o AS at", f"least(m - o, {SLOTS_A_ROW}L) AS m")
+    slots = drawn.repartition("shard", "source", "first").mapInArrow(_slots(sizes, block, seed), "shard int, slot long, source int, block long, pass int")
+    taken = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
     numbered = base.join(F.broadcast(table), F.col("_src").eqNullSafe(F.col("_name"))).drop("_name")
     placed = prefix_sums(numbered.where("size > 0"), ["_n"], ["_id", "_h", "size"], F.col("size"), "_at")
     met = (
@@ -180,17 +177,16 @@ def _met(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
         .withColumn("_from", F.greatest(F.col("_at") - F.col("_b") * block, F.lit(0)))
         .withColumn("_to", F.least(F.col("_at") + F.col("size") - F.col("_b") * block, F.lit(block)))
         .withColumn("_times", F.coalesce("times", F.lit(0)).cast("long"))
-        .withColumn("_some", F.greatest(F.least(F.coalesce("part", F.lit(0)), F.col("_to")) - F.col("_from"), F.lit(0)).cast("long"))
     )
     return numbered, met, slots
 
 
 def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(rows: _id, _src, _h, size, source_size, target, taken; slots: shard, source, place,
-    block, words) of the mix that ``_met`` draws."""
+    """(rows: _id, _src, _h, size, source_size, target, taken; slots: shard, slot, source,
+    block, pass) of the mix that ``_met`` draws."""
     numbered, met, slots = _met(docs, **options)
     got = (
-        met.withColumn("_w", F.col("_times") * (F.col("_to") - F.col("_from")) + F.col("_some"))
+        met.withColumn("_w", F.col("_times") * (F.col("_to") - F.col("_from")))
         .groupBy("_n", "_at", "_id", "_src", "_h", "size", "source_size", "target").agg(F.sum("_w").cast("long").alias("taken"))
     )
     columns = ["_id", "_src", "_h", "size", "source_size", "target", "taken"]
@@ -198,16 +194,30 @@ def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return got.select(*columns).unionByName(none.select(*columns)), slots
 
 
+def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, **options) -> DataFrame:
+    """shard, slot, source, block, n_words, text: the output shards, each slot with the words of
+    its block, set off by one blank. Write it partitioned or sorted by shard. Rows equal in id,
+    text and source are packed once for each of them."""
+    numbered, met, slots = _met(docs, id_col=id_col, text_col=text_col, source_col=source_col, block=block, **options)
+    places = met.where("_times > 0").groupBy("_id", "_src", "_h").agg(F.collect_set(F.struct("_n", "_at", "size")).alias("_ats"))
+    texts = docs.select(docs[id_col].alias("_did"), docs[source_col].alias("_dsrc"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_key")).dropDuplicates(["_did", "_dsrc", "_key"])
+    both = texts.join(places, F.col("_did").eqNullSafe(F.col("_id")) & F.col("_dsrc").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_h")))
+    words = both.select(F.explode("_ats").alias("x"), F.expr("regexp_extract_all(_text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)").alias("w")).select("x.*", "w")
+    pieces = words.select("_n", "_at", "w", F.explode(F.expr(f"sequence(_at div {block}, (_at + size - 1) div {block})")).alias("_b")).select(
+        "_n", "_b", "_at", F.expr(f"slice(w, cast(greatest(_b * {block} - _at, 0) + 1 AS INT), cast({block} - greatest(_at - _b * {block}, 0) AS INT))").alias("w"))
+    blocks = pieces.groupBy("_n", "_b").agg(F.expr("flatten(transform(array_sort(collect_list(struct(_at, w))), x -> x.w))").alias("w"))
+    names = numbered.select("_n", F.col("_src").alias("source")).distinct()
+    packed = slots.withColumnRenamed("source", "_s").join(blocks, (F.col("_s") == F.col("_n")) & (F.col("block") == F.col("_b"))).drop("_n", "_b")
+    return packed.join(F.broadcast(names), F.col("_s") == F.col("_n")).select("shard", "slot", "source", "block", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("text"))
+
+
 def _ranges(met: DataFrame, block: int) -> DataFrame:
     """_id, _src, _h, _at, _size, _runs: the word ranges (copy, a, b) that the mix takes of each
     document, in words of the document from 0, end exclusive. A block's k-th taking belongs to
     copy k; ranges of a copy that touch are one."""
     pieces = (
-        met.withColumn("_start", F.col("_b") * block + F.col("_from") - F.col("_at"))
-        .select("_n", "_at", "_id", "_src", "_h", "size", F.explode(F.expr("""concat(
-            IF(_times > 0, transform(sequence(1L, greatest(_times, 1L)), c -> named_struct('c', c, 'a', _start, 'b', _start + _to - _from)), array()),
-            IF(_some > 0, array(named_struct('c', _times + 1, 'a', _start, 'b', _start + _some)), array()))""")).alias("x"))
-        .select("_n", "_at", "_id", "_src", "_h", "size", "x.*")
+        met.where("_times > 0").withColumn("a", F.col("_b") * block + F.col("_from") - F.col("_at")).withColumn("b", F.expr("a + _to - _from"))
+        .select("_n", "_at", "_id", "_src", "_h", "size", "a", "b", F.explode(F.expr("sequence(1L, _times)")).alias("c"))
     )
     along = Window.partitionBy("_n", "_at").orderBy("c", "a")
     fresh = F.when((F.lag("c").over(along) == F.col("c")) & (F.lag("b").over(along) == F.col("a")), 0).otherwise(1)
