@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from tessera.llm import pipeline
 from tessera.llm.bpe import op7_byte_bpe
 from tessera.llm.fertility import op2_quality_rules
 from tessera.llm.jaccard import op8_jaccard_join
@@ -15,7 +15,7 @@ from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.warc import op3_warc_derivatives
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc_derivatives": op3_warc_derivatives,
@@ -27,4 +27,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
