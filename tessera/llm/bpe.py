@@ -16,7 +16,7 @@ from array import array
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tessera.llm.text_arrow import chunks
+from tessera.llm.text_arrow import chunks, held
 from tessera.runtime import read_table, ship_package
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -218,14 +218,8 @@ def unpack(packed: bytes) -> array:
     return ids
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
-    key = (path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(path, pattern)
-    return _CODECS[key]
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(

@@ -16,12 +16,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text_arrow import chunks
+from tessera.llm.text_arrow import chunks, held
 from tessera.runtime import read_table, ship_package
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 80_000
 #: Bytes of text measured together; its arrays are what a task holds.
 PIECE_BYTES = 1_500_000
 SPACE = b" \t\n\v\f\r"
@@ -189,9 +189,6 @@ def within_bands(m: dict[str, np.ndarray], bands: dict) -> np.ndarray:
     )
 
 
-_STATE: dict = {}
-
-
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -231,9 +228,7 @@ def _judge(docs, id_col="doc_id", text_col="text", pieces=PIECES, byte_level=BYT
         text, back = "t", ["i"]
 
     def run(batches):
-        if whole not in _STATE:
-            _STATE[whole] = Fertility(*(p if "/" in p else public_tokenizers.path(p) for p in whole))
-        f = _STATE[whole]
+        f = held(("fertility", *whole), lambda: Fertility(*(p if "/" in p else public_tokenizers.path(p) for p in whole)))
         for batch in batches:
             for part, texts in chunks(batch, text, PIECE_BYTES):
                 m = measure(texts, f)

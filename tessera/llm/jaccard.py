@@ -21,10 +21,10 @@ tokens. So the links found connect exactly the sets that chains of links connect
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text_arrow import chunks
+from tessera.llm.text_arrow import chunks, forget, release
 from tessera.runtime import checkpoint, connected_components, read_table, ship_package
 
 #: Places of the id filters that are sent to executors: eight for each id, 2^26 (8 MB) at most.
@@ -58,13 +58,14 @@ def _signatures(width: int):
         import pyarrow as pa
         import xxhash
 
-        from tessera.llm.shingles import histogram, min_hashes, shingle_sets
+        from tessera.llm.shingles import flat_sets, histogram, min_hashes
 
+        forget()
         for batch in batches:
             for part, texts in chunks(batch, "t"):
-                sets = shingle_sets(texts, width)
-                sig = min_hashes(sets, HASHES)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                flat, ends = flat_sets(texts, width)
+                sets = [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                sig = min_hashes(flat, ends, HASHES)
                 token, times = np.unique(flat, return_counts=True)
                 often = times >= HEAVY_IN_CHUNK
                 heavy, count = token[often].astype(np.int64), times[often]
@@ -147,12 +148,13 @@ def _grouped_sets(docs: DataFrame, nodes: DataFrame, hot: dict, width: int) -> D
     def run(batches):
         import pyarrow as pa
 
-        from tessera.llm.shingles import min_hashes, shingle_sets
+        from tessera.llm.shingles import flat_sets, min_hashes
 
         for part, texts in _asked(batches, wanted):
-            sets = shingle_sets(texts, width)
+            flat, ends = flat_sets(texts, width)
+            sets = [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
             out = []
-            for i, s, sig in zip(part.column("i").to_pylist(), sets, min_hashes(sets, HASHES)):
+            for i, s, sig in zip(part.column("i").to_pylist(), sets, min_hashes(flat, ends, HASHES)):
                 for v, hit in zip(sig, named.value(np.array(sig, np.int64) % (1 << FILTER_BITS))):
                     if hit:
                         out.append((v, part_of(i, parts.value.get(v, 1)), i, s.tobytes()))
@@ -238,31 +240,33 @@ def _prefixes(width: int, percent: int, heavy: dict, buckets: int, wanted):
     def run(batches):
         import pyarrow as pa
 
-        from tessera.llm.shingles import shingle_sets
+        from tessera.llm.shingles import flat_sets
 
         keys = np.array(sorted(heavy.value), np.int64).astype(np.uint64)
         keys.sort()
         rank = np.array([heavy.value[int(np.int64(k.astype(np.int64)))] for k in keys], np.int64)
         for part, texts in _asked(batches, wanted):
-            tokens, places, sizes = [], [], []
-            for s in shingle_sets(texts, width):
-                n = len(s)
-                sizes.append(n)
-                if not n:
-                    continue
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    often = keys[at] == s
-                    if often.any():
-                        s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
-                pre = s[: n - (-(-percent * n // 100)) + least(n)]
-                tokens.append(pre)
-                places.append(np.arange(len(pre), dtype=np.int64) * 4096 // n)
-            size = np.array(sizes, np.int64)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            doc = np.repeat(np.flatnonzero(size), [len(x) for x in tokens])
+            flat, ends = flat_sets(texts, width)
+            size = np.diff(ends)
+            doc = np.repeat(np.arange(len(size)), size)
+            if len(keys) and len(flat):  # frequent tokens go last, the commonest at the end
+                at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                often = np.flatnonzero(keys[at] == flat)
+                rare = np.ones(len(flat), bool)
+                rare[often] = False
+                before = np.concatenate([[0], np.cumsum(rare)])
+                order = np.empty(len(flat), np.int64)
+                order[(ends[doc] + before[:-1] - before[ends[doc]])[rare]] = np.flatnonzero(rare)
+                often = often[np.lexsort((rank[at[often]], doc[often]))]
+                among = np.arange(len(often)) - np.searchsorted(doc[often], doc[often])
+                order[ends[doc[often]] + before[ends[doc[often] + 1]] - before[ends[doc[often]]] + among] = often
+                flat = flat[order]
+            place = np.arange(len(flat)) - ends[doc]
+            n = size[doc]
+            pre = place < n + percent * -n // 100 + least(n)
+            flat, doc, place = flat[pre], doc[pre], place[pre] * 4096 // n[pre]
             # the token's upper 52 bits, and its place in 4096ths of the set
-            packed = (flat & ~np.uint64(4095)) | (np.concatenate(places).astype(np.uint64) if places else flat)
+            packed = (flat & ~np.uint64(4095)) | place.astype(np.uint64)
             bucket = ((flat >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(doc * buckets + bucket, kind="stable")
             key = (doc * buckets + bucket)[order]
@@ -296,10 +300,60 @@ def _shared_tokens(table):
     count = np.diff(np.append(edge, len(sorted_)))
     keep = order[np.repeat(count > 1, count)]
     many = np.repeat(count, count)[np.repeat(count > 1, count)]
+    release()
     return pa.table({"w": pa.array(flat[keep] & ~np.int64(4095)), "i": pa.array(table.column("i").to_numpy()[row[keep]]),
                      "n": pa.array(table.column("n").to_numpy()[row[keep]], pa.int32()), "p": pa.array((flat[keep] & 4095).astype(np.int32)), "m": pa.array(many.astype(np.int32))})
 
 
+def _spread(percent: int, buckets: int):
+    """Postings (w, i, n, p, m) and nodes (i, c, gs, hist) of some ids -> a row for each set and
+    bucket of lists: (bucket, i, n, l, c, gs, hist). Postings of other ids go; so do a set's commonest
+    tokens, fewer than least() of any set that can link, so a pair's rarest common token stays.
+    A long list is cut into blocks, and each pair of blocks is a list."""
+
+    def run(left, right):
+        import pyarrow as pa
+
+        from tessera.llm.shingles import mix
+
+        def column(name):
+            return left.column(name).to_numpy()
+
+        kind = pa.list_(pa.struct([("w", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("blk", pa.int32()), ("p", pa.int32())]))
+        w, i, n, p, m = (column(x) for x in "winpm")
+        known = right.column("i").to_numpy()
+        by = np.argsort(known, kind="stable")
+        at = np.minimum(np.searchsorted(known[by], i), max(0, len(known) - 1))
+        mine = known[by][at] == i if len(known) else np.zeros(len(i), bool)
+        w, i, n, p, m, at = (x[mine] for x in (w, i, n, p, m, by[at] if len(known) else at))
+        order = np.lexsort((w, -m, i))
+        w, i, n, p, m, at = (x[order] for x in (w, i, n, p, m, at))
+        fresh = np.ones(len(w), np.int64)
+        fresh[1:] = (w[1:] != w[:-1]) | (i[1:] != i[:-1])
+        total = np.cumsum(fresh)
+        start = np.searchsorted(i, i)
+        rank = total - total[start] + 1 if len(w) else total
+        keep = rank > n.astype(np.int64) * percent // 100 // 16
+        w, i, n, p, m, at = (x[keep] for x in (w, i, n, p, m, at))
+        k = -(-m.astype(np.int64) // LIST)
+        own = (mix(i.astype(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
+        again = np.repeat(np.arange(len(w)), k)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+        w, i, n, p, at, own = (x[again] for x in (w, i, n, p, at, own))
+        lo, hi = np.minimum(own, other), np.maximum(own, other)
+        bucket = (mix(w.astype(np.uint64) ^ mix((lo * 65536 + hi).astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((bucket, n, i))
+        w, i, n, p, at, own, lo, hi, bucket = (x[order] for x in (w, i, n, p, at, own, lo, hi, bucket))
+        cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (n[1:] != n[:-1]) | (bucket[1:] != bucket[:-1])])) if len(i) else np.zeros(0, np.int64)
+        flat = pa.StructArray.from_arrays([pa.array(w), *(pa.array(x.astype(np.int32)) for x in (lo, hi, own, p))], names=["w", "lo", "hi", "blk", "p"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(i)).astype(np.int32)), flat).cast(kind)
+        node = right.select(["c", "gs", "hist"]).take(pa.array(at[cut]))
+        release()
+        return pa.table({"bucket": pa.array(bucket[cut]), "i": pa.array(i[cut]), "n": pa.array(n[cut].astype(np.int32)), "l": lists, "c": node.column("c"), "gs": node.column("gs").cast(pa.list_(pa.int64())), "hist": node.column("hist")})
+
+    return run
+
+
 def _pairs(percent: int):
     """(a, b, na, nb, k): pairs of different components and their common tokens in a bucket."""
 
@@ -394,6 +448,7 @@ def _pairs(percent: int):
                             x = np.concatenate(x)
                             keep(x, np.full(len(x), s + k))
         got = summed()
+        release()
         u, v = got[:, 0], got[:, 1]
         swap = ids[u] > ids[v]
         u, v = np.where(swap, v, u), np.where(swap, u, v)
@@ -454,19 +509,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = _sent(reps.select(_place("i").alias("h")))
     posted = picked.select("i", "t", _place("i").alias("h")).mapInArrow(_prefixes(width, percent, heavy, buckets, wanted), "bucket int, i long, n int, tokens array<long>")
     lists = posted.groupBy("bucket").applyInArrow(_shared_tokens, "w long, i long, n int, p int, m int")
-    # fewer than least() of any set that can link are left out, so a pair's rarest common token stays
-    common = Window.partitionBy("i").orderBy(F.desc("m"), "w")
-    lists = lists.withColumn("r", F.dense_rank().over(common)).where(F.expr(f"r > (n * {percent} div 100) div 16")).drop("r")
-    spread = (  # a long list is cut into blocks, and each pair of blocks is a list
-        lists.withColumn("k", F.expr(f"cast(ceil(m / {LIST}) AS INT)")).withColumn("blk", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
-        .withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
-        .select("w", "i", "n", "p", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-        .withColumn("bucket", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(max(6, total // BUCKET))).cast("int"))
-    )
-    packed = spread.groupBy("i", "n", "bucket").agg(F.collect_list(F.struct("w", "lo", "hi", "blk", "p")).alias("l"))
     # an id with several texts has no histogram of its own
     hists = full.groupBy("i").agg(F.when(F.min("fp") == F.max("fp"), F.first("hist")).alias("hist"))
-    packed = packed.join(label.join(hists, "i"), "i")
+    near = F.pmod(F.xxhash64("i"), F.lit(buckets)).alias("near")
+    packed = lists.groupBy(near).cogroup(label.join(hists, "i").groupBy(near)).applyInArrow(
+        _spread(percent, max(6, total // BUCKET)), "bucket int, i long, n int, l array<struct<w: long, lo: int, hi: int, blk: int, p: int>>, c long, gs array<long>, hist binary")
     pairs = packed.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, na int, nb int, k long").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     pairs = checkpoint(pairs.where(F.expr(f"k >= greatest(1, 1 + least(na, nb) div 10 - (greatest(na, nb) * {percent} div 100) div 16)")).select("a", "b").distinct())
     if not pairs.isEmpty():

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text_arrow import CHUNK_BYTES, chunks
+from tessera.llm.text_arrow import CHUNK_BYTES, chunks, held
 from tessera.runtime import read_table, ship_package
 
 DIMENSIONS = 1024
@@ -95,11 +95,8 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-_SPACES: dict[int, Space] = {}
-
-
 def space(d: int) -> Space:
-    return _SPACES.setdefault(d, Space(d))
+    return held(("space", d), lambda: Space(d))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",

@@ -18,48 +18,64 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
-    """One sorted array of distinct hashes per text. A-Z are lower-cased and words are what
-    stands between white space of ASCII; a text with fewer than ``width`` words is one
-    shingle, one without words (or null) an empty set."""
+def flat_sets(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the sets of the texts one after the other, each sorted and distinct; set k
+    is hashes[ends[k] : ends[k + 1]]. A-Z are lower-cased and words are what stands between white
+    space of ASCII; a text with fewer than ``width`` words is one shingle, one without words
+    (or null) an empty set."""
     raw = [(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]
     split = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).cast(pa.large_string(), safe=False))
     doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     flat = split.flatten()
     full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    doc = doc[full]
+    n_words = np.bincount(doc[full], minlength=len(texts))
+    _, cuts, data = coded.dictionary.buffers()
+    cuts, data = np.frombuffer(cuts, np.int64, len(coded.dictionary) + 1).tolist(), data.to_pybytes() if data else b""
     one = xxhash.xxh3_64_intdigest
-    table = np.fromiter((one(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    table = np.fromiter((one(data[x:y]) for x, y in zip(cuts, cuts[1:])), np.uint64, len(coded.dictionary))
     words = table[coded.indices.to_numpy(zero_copy_only=False)] if len(table) else np.zeros(0, np.uint64)
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-    out = []
-    rolled = np.zeros(0, np.uint64)
-    if len(words) >= width:
-        n = len(words) - width + 1
-        with np.errstate(over="ignore"):
+    at = np.concatenate([[0], np.cumsum(n_words)])
+    long = n_words >= width
+    count = np.where(long, n_words - width + 1, np.minimum(n_words, 1))
+    ends = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(int(ends[-1]), np.uint64)
+    with np.errstate(over="ignore"):
+        if long.any():
+            n = len(words) - width + 1
             rolled = mix(words[:n].copy())
             for k in range(1, width):
                 rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    for i in range(len(texts)):
-        a, b = ends[i], ends[i + 1]
-        if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
-        elif b > a:
-            with np.errstate(over="ignore"):
-                h = np.array([b - a], np.uint64)
-                for w in words[a:b]:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
-            out.append(h)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def min_hashes(sets: list[np.ndarray], n: int) -> list[list[int]]:
+            first = np.repeat(at[:-1][long] - ends[:-1][long], count[long])
+            out[np.repeat(long, count)] = rolled[first + np.flatnonzero(np.repeat(long, count))]
+        for i in np.flatnonzero(~long & (n_words > 0)).tolist():
+            h = n_words[i : i + 1].astype(np.uint64)
+            for w in words[at[i] : at[i + 1]]:
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+            out[ends[i]] = h[0]
+    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        out[x:y].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[ends[:-1][count > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[ends]
+
+
+def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
+    """The sets of ``flat_sets``, one array each."""
+    flat, ends = flat_sets(texts, width)
+    return [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def min_hashes(flat: np.ndarray, ends: np.ndarray, n: int) -> list[list[int]]:
     """``n`` minimum hashes of each set as signed 64-bit numbers; none for an empty set."""
+    some = ends[1:] > ends[:-1]
+    if not some.any():
+        return [[] for _ in some]
     seeds = mix(np.arange(1, n + 1, dtype=np.uint64))
-    return [[int(mix(s ^ seed).min().astype(np.int64)) for seed in seeds] if len(s) else [] for s in sets]
+    least = np.stack([np.minimum.reduceat(mix(flat ^ seed), ends[:-1][some]) for seed in seeds], axis=1).view(np.int64).tolist()
+    rows = iter(least)
+    return [next(rows) if x else [] for x in some.tolist()]
 
 
 def similar(a: int, b: int, shared: int, percent: int = 75) -> bool:

@@ -8,6 +8,35 @@ import pyarrow as pa
 CHUNK_BYTES = 3_000_000
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What an operator keeps in a worker between batches. One operator's at a time: a worker
+    serves all stages of an application, and what earlier ones kept would add up."""
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    if _HELD:
+        _HELD.clear()
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def chunks(batch, column: str, limit: int = CHUNK_BYTES):
     """Yield (slice, list of texts) with about ``limit`` bytes of text each; null stays None."""
     start, size = 0, 0
@@ -21,6 +50,8 @@ def chunks(batch, column: str, limit: int = CHUNK_BYTES):
         size += len(text or "")
     if texts:
         yield batch.slice(start), texts
+    if batch.nbytes > CHUNK_BYTES:
+        release()
 
 
 def arrow_schema(ddl: list[tuple[str, pa.DataType]]) -> pa.Schema:
