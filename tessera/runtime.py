@@ -13,7 +13,7 @@ _SHIPPED: set[str] = set()
 
 
 #: Bytes of an Arrow batch: what a worker and its task hold of long texts at once.
-ARROW_BYTES = "16m"
+ARROW_BYTES = "8m"
 
 
 def ship_package(spark: SparkSession) -> None:
