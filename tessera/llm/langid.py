@@ -34,9 +34,12 @@ class Space:
             self.letters[cp] = (2 * bits - 1).astype(np.float32)
         return self.letters[cp]
 
-    def gram(self, key: int) -> np.ndarray:
-        a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
-        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+    def bind(self, keys: np.ndarray) -> np.ndarray:
+        """Vectors of the grams, a row each."""
+        cps, at = np.unique(np.concatenate([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF]), return_inverse=True)
+        table = np.array([self.letter(int(c)) for c in cps], np.float32)
+        a, b, c = at.reshape(3, -1)
+        return np.roll(table, 2, axis=1)[a] * np.roll(table, 1, axis=1)[b] * table[c]
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
         """Vectors of the grams; the commonest stay in a table, the others are bound anew."""
@@ -44,7 +47,7 @@ class Space:
         new = [k for k in known if k not in row]
         extra = {}
         if new:
-            made = np.array([self.gram(k) for k in new], np.float32)
+            made = self.bind(np.array(new, np.int64))
             room = max(0, CACHE_GRAMS - len(row))
             for k in new[:room]:
                 row[k] = len(row)
@@ -54,27 +57,24 @@ class Space:
             return self.grams[[row[k] for k in known]]
         return np.array([self.grams[row[k]] if k in row else made[extra[k]] for k in known], np.float32)
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the letter grams and their counts; words are set off by one blank."""
-        total: dict[int, int] = {}
-        step = CHUNK_BYTES
-        pieces = [text] if len(text) <= step else [text[i : i + step + 2] for i in range(0, len(text), step)]
-        keys_all = []
-        for piece in pieces:
-            cp = np.frombuffer(piece.lower().encode("utf-32-le", "replace"), np.uint32)
-            cp = np.where(_letters()[cp], cp, 32).astype(np.int64)
-            cp = np.concatenate([[32], cp, [32]])
+    def counts(self, text: str, step: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the letter grams and their counts; words are set off by one blank. A long text
+        is read ``step`` characters at a time, and the last two letters go along."""
+        low = text.lower()
+        parts = []
+        tail = np.array([32], np.int64)
+        for start in range(0, len(low), step):
+            cp = np.frombuffer(low[start : start + step].encode("utf-32-le", "replace"), np.uint32)
+            cp = np.concatenate([tail, np.where(_letters()[cp], cp, 32).astype(np.int64), [32] if start + step >= len(low) else []]).astype(np.int64)
             cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
-            if len(cp) < 3:
-                continue
-            keys = cp[:-2] << 42 | cp[1:-1] << 21 | cp[2:]
-            keys_all.append(np.unique(keys, return_counts=True))
-        if len(keys_all) == 1:
-            return keys_all[0]
-        for keys, n in keys_all:
-            for k, v in zip(keys.tolist(), n.tolist()):
-                total[k] = total.get(k, 0) + v
-        return np.array(list(total), np.int64), np.array(list(total.values()), np.int64)
+            parts.append(np.unique(cp[:-2] << 42 | cp[1:-1] << 21 | cp[2:], return_counts=True))
+            tail = cp[-2:]
+        if len(parts) == 1:
+            return parts[0]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """Unit vector of a text; None for a null text or one without letters."""
@@ -138,7 +138,8 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col:
     """id, lang_pred, score (the cosine with the prototype, moved to 0..1) for whole texts.
 
     ``und`` with score 0 for null texts, texts without letters, and when nothing was learned.
-    Ties go to the language that sorts first.
+    Ties go to the language that sorts first. Only id and text are read, so other columns may
+    have any names; repeated rows come back as often, and an empty table gives none.
     """
     ship_package(docs.sparkSession)
     table = prototypes.astype(np.float32)
@@ -168,10 +169,12 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col:
 
 
 def held_out(remainder: int, parts: int, id_col: str = "doc_id"):
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)) == F.lit(remainder)
+    """Whether the CRC-32 of the id as text leaves ``remainder``; false for a null id."""
+    return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)) == F.lit(remainder), F.lit(False))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """A null id is held out of nothing: held_out is false, and its row may teach."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     langs, prototypes = train(docs.where(~held_out(2, 4)))
     out = predict(docs, langs, prototypes)

@@ -138,6 +138,66 @@ def test_secrets(spark, docs):
     assert "AKIA" not in texts[7] and "0123" not in texts[7]
 
 
+def plain_scan(text, ratios):
+    base = base_spans(text)
+    more = []
+    for m in re.finditer(secrets.RUN, text):
+        if any(a <= m.start() and m.end() <= b for a, _, b, _ in base):
+            continue
+        place = [secrets.ALPHABET.index(c) for c in m[0]]
+        ratio = sum(ratios[x * len(secrets.ALPHABET) + y] for x, y in zip(place, place[1:]))
+        if ratio >= max(secrets.LEAST_RATIO, secrets.LEAST_PER_CHARACTER * len(m[0])):
+            more.append((m.start(), 3, m.end(), "markov"))
+    return sorted(base + more)
+
+
+def plain_redact(text, spans):
+    out, at = [], 0
+    for a, _, b, _ in spans:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    return "".join(out) + text[at:] if spans else text
+
+
+def test_secrets_against_plain_code(spark, docs, monkeypatch):
+    ratios = secrets.train(docs)
+    r = random.Random(8)
+    letters = "abcdefABCXYZ0123456789+/_=-"
+    parts = ["é", " ", "\n", "token=", "Password: '", "AKIA", "api-key := ", '"', ":", "."]
+    rows = [(k, "".join(r.choice(parts) + "".join(r.choice(letters[: r.choice([6, 27])]) for _ in range(r.randint(0, 45))) for _ in range(r.randint(0, 30))), "en", "a") for k in range(200)]
+    rows += [(300, None, "en", "a"), (301, "", "en", "a"), (302, rows[5][1], "en", "a"), (302, rows[5][1], "en", "a")]
+    for piece in (256, 2):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        df = frame(spark, rows)
+        got = secrets.scan_documents(df, ratios=ratios).collect()
+        seen = Counter((x["doc_id"], x["n_assign"], x["n_access"], x["n_hex"], x["spans"]) for x in got)
+        want, clean = Counter(), Counter()
+        for i, t, *_ in rows:
+            spans = plain_scan(t or "", ratios)
+            kinds = Counter(k for *_, k in spans)
+            want[i, kinds["assign"], kinds["access"], kinds["hex"], ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)] += 1
+            clean[i, plain_redact(t, spans) if t else t] += 1
+        assert seen == want and any("markov" in k[-1] for k in want)
+        assert Counter((x["doc_id"], x["text"]) for x in secrets.redact(df, ratios=ratios).collect()) == clean
+    assert secrets.scan_documents(df.where("false"), ratios=ratios).count() == 0 == secrets.redact(df.where("false"), ratios=ratios).count()
+
+
+def test_secrets_in_long_texts(spark, docs):
+    import base64
+    import time
+
+    ratios = secrets.train(docs)
+    run = base64.b64encode(random.Random(3).randbytes(750_000)).decode()
+    many = " ".join(f"é {k:016x}" for k in range(50_000))
+    start = time.time()
+    got = {x["doc_id"]: x for x in secrets.scan_documents(frame(spark, [(1, run, "en", "a"), (2, many, "en", "a")]), ratios=ratios).collect()}
+    assert got[1]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in plain_scan(run, ratios)) and got[2]["n_hex"] == 50_000
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(frame(spark, [(1, run, "en", "a"), (2, many, "en", "a")]), ratios=ratios).collect()}
+    assert clean[1] == plain_redact(run, plain_scan(run, ratios)) and clean[2] == " ".join(["é [secret]"] * 50_000)
+    assert time.time() - start < 90  # far below what a time that grows with the square would be
+
+
 def test_secrets_redact_a_key_around_hex(spark, docs):
     key = "qZ7RkT9wXb4N" + "9f3ac07be41d58a62f07" + "Xv3PmL8yQdK2"
     df = frame(spark, [(1, f"the key {key} is here", "en", "a")])
@@ -417,6 +477,54 @@ def test_language(spark, edge, docs):
     assert abs(float(np.linalg.norm(a)) - 1) < 1e-5 and langid.space(256).bundle("123") is None
 
 
+def test_language_grams_do_not_hang_on_pieces():
+    s = langid.space(64)
+    for text in ("", "a", "The  quick, brown fox!  İstanbul ΟΔΟΣ 3 x " * 9, "..a..", "abc", " "):
+        padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        padded = re.sub(" +", " ", padded)
+        want = Counter(padded[k : k + 3] for k in range(len(padded) - 2))
+        for step in (1, 2, 3, 7, 1000):
+            keys, n = s.counts(text, step)
+            got = {"".join(map(chr, (k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF))): v for k, v in zip(keys.tolist(), n.tolist())}
+            assert got == dict(want)
+
+
+def test_language_against_plain_code(spark, docs, edge):
+    """Letters, binding, bundling and cosine one by one in plain Python, on a small space."""
+    d = 32
+    s = langid.space(d)
+
+    def vector(text):
+        padded = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        out = [0.0] * d
+        for k in range(len(padded) - 2):
+            a, b, c = (s.letter(ord(x)).tolist() for x in padded[k : k + 3])
+            for j in range(d):
+                out[j] += a[(j - 2) % d] * b[(j - 1) % d] * c[j]
+        size = sum(x * x for x in out) ** 0.5
+        return [x / size for x in out] if size else out
+
+    few = docs.limit(40).unionByName(edge.where("doc_id <> 4").select(*docs.columns) if set(docs.columns) <= set(edge.columns) else docs.limit(1))
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in few.collect()]
+    sums = {}
+    for _, t, lang in rows:
+        if lang is not None and t and any(c.isalpha() for c in t):
+            sums[lang] = [x + y for x, y in zip(sums.get(lang, [0.0] * d), vector(t))]
+    frozen = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = langid.train(frozen, dimensions=d)
+    assert langs == sorted(sums)
+    for lang, row in zip(langs, table):
+        size = sum(x * x for x in sums[lang]) ** 0.5
+        assert np.allclose(row, [x / size for x in sums[lang]], atol=1e-4)
+    for r in langid.predict(frozen, langs, table, dimensions=d).collect():
+        text = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cos = table @ np.array(vector(text))
+        assert abs(r["score"] - (1 + cos.max()) / 2) < 1e-4 and cos[langs.index(r["lang_pred"])] >= cos.max() - 1e-4
+
+
 def test_toxicity(spark, edge):
     r = random.Random(2)
     words = ["river", "stone", "house", "walks", "green", "over", "quietly", "people", "market", "window"]
