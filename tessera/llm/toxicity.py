@@ -3,8 +3,10 @@
 Words are read by a lexicon transducer whose insult entries (whole words and stems) are
 learned from labelled texts; threats, targets, negation and reported speech are closed
 classes. Transducers for threat, target, negation and reported speech rewrite labels or scale
-weights, and are composed once into one machine. The machine reads each clause with a
-match; a text's score comes from the weights of its matched clauses.
+weights, and are composed once into one machine. The machine reads each sentence with a
+match, as one clause in which commas, colons and quotes are pauses: they end a negation, and
+reported speech goes on behind them. A text's score comes from the weights of its matched
+clauses and from nothing else.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ THREAT = {"kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "murder",
 NEGATION = {"not", "no", "never", "isn", "aren", "wasn", "don", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás"}
 REPORT = {"said", "says", "wrote", "called", "claims", "quoted", "sagte", "schrieb", "nannte", "behauptet", "dit", "écrit",
           "appelé", "dijo", "escribió", "llamó"}
-CLAUSE = re.compile(r"[.!?;:,\n]+")
+CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W\d_]+|[,:]")
 
-INSULT, THREATS, TARGETS, NEGATE, REPORTS, OTHER = range(6)
-LABELS = 6
+INSULT, THREATS, TARGETS, NEGATE, REPORTS, PAUSE, OTHER = range(7)
+LABELS = 7
 
 
 class Transducer:
@@ -74,11 +77,12 @@ def negation(reach: int = 3, factor: float = 0.25) -> Transducer:
         for x in range(LABELS):
             arcs[s, x] = (max(0, s - 1), x, factor if s and x in (INSULT, THREATS) else 1.0, 0.0)
         arcs[s, NEGATE] = (reach, NEGATE, 1.0, 0.0)
+        arcs[s, PAUSE] = (0, PAUSE, 1.0, 0.0)
     return Transducer(reach + 1, arcs)
 
 
 def reported(factor: float = 0.5) -> Transducer:
-    """After a verb of speech, what follows in the clause is somebody else's."""
+    """After a verb of speech, what follows in the clause is somebody else's, pauses or not."""
     arcs = {(0, REPORTS): (1, REPORTS, 1.0, 0.0)}
     arcs |= {(1, x): (1, x, factor if x in (INSULT, THREATS) else 1.0, 0.0) for x in range(LABELS)}
     return Transducer(2, arcs)
@@ -90,9 +94,10 @@ def target(bonus: float = 0.5) -> Transducer:
 
 
 def threat(bonus: float = 4.0) -> Transducer:
-    """A threat verb counts only together with a target, before or after it."""
+    """A threat verb counts only together with a target, before or after it; the word that makes
+    the pair complete is written as a threat."""
     return Transducer(4, {(0, THREATS): (1, THREATS, 0.0, 0.0), (0, TARGETS): (2, TARGETS, 1.0, 0.0),
-                          (1, TARGETS): (3, TARGETS, 1.0, bonus), (2, THREATS): (3, THREATS, 0.0, bonus)})
+                          (1, TARGETS): (3, THREATS, 0.0, bonus), (2, THREATS): (3, THREATS, 0.0, bonus)})
 
 
 GRAMMAR = target().then(threat()).then(reported()).then(negation())
@@ -105,7 +110,7 @@ class Lexicon(dict):
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         super().__init__()
         self.words, self.stems = words, stems
-        self.closed = {w: k for k, ws in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATE, NEGATION), (REPORTS, REPORT)) for w in ws}
+        self.closed = {w: k for k, ws in ((PAUSE, {",", ":"}), (THREATS, THREAT), (TARGETS, TARGET), (NEGATE, NEGATION), (REPORTS, REPORT)) for w in ws}
 
     def __missing__(self, word: str):
         best = self.words.get(word, 0.0)
@@ -118,24 +123,28 @@ class Lexicon(dict):
         return out
 
 
+def clause_scores(low: str, lexicon: Lexicon, hits: set) -> list[float]:
+    """Scores of the clauses (of a lower-cased text) that hold one of ``hits``."""
+    out = []
+    for clause in CLAUSE.split(low):
+        inside = TOKEN.findall(clause)
+        if not hits.isdisjoint(inside):
+            read = [lexicon[w] for w in inside]
+            out.append(GRAMMAR.score([x for x, _ in read], [w for _, w in read]))
+    return out
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Sum and maximum of clause scores, number of matched clauses, of different entries and
-    their share of the words, all damped by logarithms."""
+    """Sum, maximum and second of the clause scores, number of clauses that score and their share
+    of the words, all but the maximum damped by logarithms."""
     low = (text or "").lower()
     words = WORD.findall(low)
     hits = {w for w in set(words) if lexicon[w][0] in (INSULT, THREATS)}
-    if not hits:
+    scores = sorted((s for s in clause_scores(low, lexicon, hits) if s > 0), reverse=True) if hits else []
+    if not scores:
         return [0.0] * 5
-    total, top, n = 0.0, 0.0, 0
-    for clause in CLAUSE.split(low):
-        inside = WORD.findall(clause)
-        if hits.isdisjoint(inside):
-            continue
-        read = [lexicon[w] for w in inside]
-        s = GRAMMAR.score([x for x, _ in read], [w for _, w in read])
-        total, top, n = total + s, max(top, s), n + (s > 0)
-    weight = sum(lexicon[w][1] for w in hits)
-    return [math.log1p(total), top, math.log1p(n), math.log1p(weight), math.log1p(1000 * n / max(1, len(words)))]
+    n = len(scores)
+    return [math.log1p(sum(scores)), scores[0], math.log1p(n), math.log1p(scores[1] if n > 1 else 0.0), math.log1p(1000 * n / len(words))]
 
 
 def _sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -226,7 +235,10 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
     At most about ``rows`` of them, dealt by a hash of the id, teach lexicon and calibration.
     A null or empty text scores as one without matches. Without labelled rows of both kinds
-    every score is 0 resp. 1 by the labels there are (0 with none).
+    every score is 0 resp. 1 by the labels there are (0 with none). Only id and text are read,
+    so other columns may have any names; rows that repeat an id or a text are scored each, and
+    an empty table gives none. A text is read whole, however long. Entries of equal strength at
+    the end of the lexicon are taken in the order of their letters.
     """
     ship_package(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"))
@@ -244,6 +256,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A document with several labels counts as toxic if one of them is."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1) & ~held_out(0, 5)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # at most about TRAIN_ROWS ids and labels, so they go to the texts and not the texts to them

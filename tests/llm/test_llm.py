@@ -544,10 +544,56 @@ def test_toxicity(spark, edge):
     g = toxicity.GRAMMAR
     i, n, q, o, h, t = (toxicity.INSULT, toxicity.NEGATE, toxicity.REPORTS, toxicity.OTHER, toxicity.THREATS, toxicity.TARGETS)
     plain = g.score([o, i], [0, 4.0])
+    assert toxicity.score_toxicity(edge.where("false"), labelled).count() == 0
     assert g.score([n, i], [0, 4.0]) < g.score([q, o, i], [0, 0, 4.0]) < plain < g.score([t, i], [0, 4.0])
     assert g.score([h], [0.0]) == 0 and g.score([h, o, t], [0.0] * 3) > 0 and g.score([t, h], [0.0] * 2) > 0
 
 
+def plain_clause(labels, weights):
+    """The four rules one after the other, without machines."""
+    t = toxicity
+    total, target, threat_seen, paired, report, reach = 0.0, False, False, False, False, 0
+    for x, w in zip(labels, weights):
+        value, label = w, x
+        if x == t.INSULT and target:
+            value += 0.5
+        if not paired and (x == t.TARGETS and threat_seen or x == t.THREATS and target):
+            value, label, paired = 4.0, t.THREATS, True
+        target |= x == t.TARGETS
+        threat_seen |= x == t.THREATS
+        hard = label in (t.INSULT, t.THREATS)
+        value *= (0.5 if report and hard else 1.0) * (0.25 if reach and hard else 1.0)
+        report |= label == t.REPORTS
+        reach = 3 if label == t.NEGATE else 0 if label == t.PAUSE else max(0, reach - 1)
+        total += value
+    return max(0.0, total)
+
+
+def test_toxicity_grammar_against_plain_rules():
+    t, r = toxicity, random.Random(11)
+    for _ in range(4000):
+        labels = [r.randrange(t.LABELS) for _ in range(r.randint(0, 12))]
+        weights = [round(r.random() * 5, 3) if x == t.INSULT else 0.0 for x in labels]
+        assert abs(t.GRAMMAR.score(labels, weights) - plain_clause(labels, weights)) < 1e-9
+
+
+def test_toxicity_by_phenomenon():
+    lexicon = toxicity.Lexicon({"blork": 4.0}, {})
+
+    def top(text):
+        return toxicity.features(text, lexicon)[1]
+
+    plain = top("well blork")
+    assert top("you blork") > plain > top("she wrote blork") > top("not a blork") > 0
+    # reported speech goes on behind commas, colons and quotes; a negation ends there
+    assert top('she wrote: "you blork"') == top("she said, you blork") == top("she wrote you blork") < top("you blork")
+    assert top("no, you blork") == top("you blork") > top("you are not a blork")
+    assert top("kill, you") == top("i will kill you") > top("he said: i will kill you") > 0 == top("kill time")
+    assert top("i will not kill you") < top("i will kill you")
+    # words of no matched clause count for nothing
+    assert toxicity.features("not one word", lexicon) == toxicity.features("", lexicon) == toxicity.features(None, lexicon) == [0.0] * 5
+
+
 # --- WARC
 
 
