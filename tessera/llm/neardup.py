@@ -2,10 +2,13 @@
 
 Equal vectors of a label are one node. Nodes are dealt to overlapping cluster shards around
 sampled pivots; in each shard a graph is built and robust-pruned, and the adjacency lists of
-a node's shards are united. Every node is then searched in its home shard: greedy from the
-shard's medoid and its own list, widening to all neighbours of whatever lies within the
-range. A shard that pivots do not split is compared in full, in blocks of two bounded parts.
-Links are verified in double precision. ``audit_recall`` measures what was missed.
+a node's shards are united. A shard is small, so candidates for pruning are all its nodes:
+SHARD comparisons a node, at any size of the input. Every node is then searched in its home
+shard: greedy from the shard's medoid and its own list, widening to all neighbours of
+whatever lies within the range. Links between two nodes at home in a shard are counted and
+spanned there and not listed, so a group of close copies makes no more rows than it has
+members. A shard that pivots do not split is compared in full, in blocks of two bounded
+parts. Links are verified in double precision. ``audit_recall`` measures what was missed.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from tessera.runtime import checkpoint, connected_components, read_table, ship_p
 
 LEAST = 0.93
 #: Nodes of a shard at which it is split further, and pivots of a split at most.
-SHARD = 8000
+SHARD = 512
 PIVOTS = 64
 LEVELS = 5
 #: A node also joins shards whose pivot is nearly as close as the closest one.
@@ -212,7 +215,8 @@ def _build(table):
 
 def _search(least: float):
     def run(table):
-        """Links of the shard's home nodes, found over the united adjacency lists."""
+        """Links of the shard's home nodes, found over the united adjacency lists: rows of the
+        kinds that _clumps has."""
         import heapq
 
         import pyarrow as pa
@@ -223,15 +227,15 @@ def _search(least: float):
         x = _unit(_matrix(table.column("v")))[order]
         home = np.array(table.column("home").to_pylist(), bool)[order]
         place = {int(i): k for k, i in enumerate(ids)}
+        times = table.column("times").to_numpy()[order]
         near = table.column("near").to_pylist()
         lists = [np.array([place[j] for j in near[o] or [] if j in place], np.int64) for o in order]
         medoid = int((x @ x.mean(axis=0)).argmax())
-        a, b = [], []
+        linked = np.zeros((len(ids), len(ids)), bool)  # of a bounded shard
         for q in np.flatnonzero(home).tolist():
             seen = np.zeros(len(ids), bool)
             heap: list = []
             best: list = []  # the BEAM closest so far, the farthest on top
-            found = []
 
             def meet(nodes):
                 nodes = nodes[~seen[nodes]]
@@ -241,7 +245,7 @@ def _search(least: float):
                 cos = x[nodes] @ x[q]
                 for node, c in zip(nodes.tolist(), cos.tolist()):
                     if c >= least:
-                        found.append(node)
+                        linked[q, node] = True
                     elif len(best) >= BEAM and c <= best[0]:
                         continue
                     heapq.heappush(heap, (-c, node))
@@ -255,11 +259,21 @@ def _search(least: float):
                 if -c < least and len(best) >= BEAM and -c < best[0]:
                     break
                 meet(lists[node])
-            me = int(ids[q])
-            for node in found:
-                a.append(min(me, int(ids[node])))
-                b.append(max(me, int(ids[node])))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        linked |= linked.T
+        inner = linked & home[:, None] & home[None, :]
+        label = np.arange(len(ids))
+        while True:  # the smallest node that links lead to
+            low = np.minimum(label, np.where(inner, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        others = inner @ times
+        u, v = np.nonzero(linked & home[:, None] & ~home[None, :])
+        some, tied = np.flatnonzero(others), np.flatnonzero(label != np.arange(len(ids)))
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(some), len(tied), len(u)])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids[some], ids[tied], np.minimum(ids[u], ids[v])])),
+                         "b": pa.array(np.concatenate([others[some], ids[label[tied]], np.maximum(ids[u], ids[v])]))})
 
     return run
 
@@ -270,7 +284,9 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     Rows link when their labels are equal and not null, their vectors are equally long and the
     cosine, in double precision, is ``least`` or more. Null and zero vectors, and vectors
     with null or non-finite components, link with nothing and are their own component. Equal
-    vectors count as linked with each other. A null id has a null component.
+    vectors count as linked with each other. A null id has a null component. Ids are expected
+    to be unique: rows that share one link by each of their vectors. Vectors of any length are
+    taken whole; an empty table gives none; other columns may have any names.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -281,22 +297,18 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     nodes = checkpoint(good.groupBy("g", "v").agg(F.min("i").alias("i"), F.count("*").alias("times")))
     shards = checkpoint(_cluster(nodes, shard))
     large = shards.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > shard)
-    clumped = None
+    whole = None
     if not large.isEmpty():
-        clumped = checkpoint(_clumps(shards, large, nodes, shard, least))
+        whole = _clumps(shards, large, nodes, shard, least)
         shards = shards.join(large, "shard", "left_anti")
     near = shards.select("shard", "i", "v").groupBy("shard").applyInArrow(_build, "i long, near array<long>")
     united = near.groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = shards.join(united, "i").groupBy("shard").applyInArrow(_search(least), "a long, b long")
-    if clumped is not None:
-        found = found.unionByName(clumped.where("kind = 2").select("a", "b"))
-    pairs = checkpoint(found.distinct())
+    found = shards.join(united, "i").join(nodes.select("i", "times"), "i").groupBy("shard").applyInArrow(_search(least), "kind int, a long, b long")
+    found = checkpoint(found if whole is None else found.unionByName(whole))
+    pairs = found.where("kind = 2").select("a", "b").distinct()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(nodes.select(F.col("i").alias("b"), "times"), "b").select("a", "times")
-    links = pairs
-    if clumped is not None:
-        linked = linked.unionByName(clumped.where("kind = 0").select("a", F.col("b").alias("times")))
-        links = pairs.unionByName(clumped.where("kind = 1").select("a", "b"))
+    linked = both.join(nodes.select(F.col("i").alias("b"), "times"), "b").select("a", "times").unionByName(found.where("kind = 0").select("a", F.col("b").alias("times")))
+    links = pairs.unionByName(found.where("kind = 1").select("a", "b"))
     count = linked.groupBy(F.col("a").alias("ni")).agg(F.sum("times").alias("others"))
     parts = connected_components(links)
     answer = (
@@ -309,29 +321,33 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     return out.select(F.col("i").alias(id_col), F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("i") == F.col("c"), F.lit(True)).alias("kept"))
 
 
-def audit_recall(rows: DataFrame, answer: DataFrame, every: int = 50, most: int = 5_000, least: float = LEAST) -> tuple[int, int]:
-    """(links found, links there are) of the rows whose id is divisible by ``every`` (at most
-    ``most``, by id), against all rows in blocks."""
-    spark = rows.sparkSession
+def audit_recall(rows: DataFrame, answer: DataFrame, every: int = 50, least: float = LEAST, block: int = 4_000) -> tuple[int, int]:
+    """(links found, links there are) of the rows whose id is divisible by ``every``, against all
+    rows. Rows asked for are dealt to blocks of about ``block`` by a hash, rows of a label meet
+    each block of their label in batches, and counts alone come back."""
+    ship_package(rows.sparkSession)
     base = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("l"))
-    base = base.where("size(v) > 0 AND forall(v, z -> z IS NOT NULL AND NOT isnan(z)) AND exists(v, z -> z <> 0)")
-    asked = base.where(F.col("i") % every == 0).orderBy("i").limit(most).collect()
-    sent = spark.sparkContext.broadcast([(r["i"], r["l"], r["v"]) for r in asked])
+    base = base.where("size(v) > 0 AND forall(v, z -> z IS NOT NULL AND NOT isnan(z) AND abs(z) < double('Infinity')) AND exists(v, z -> z <> 0)").withColumn("l", F.concat_ws(":", F.size("v"), "l"))
+    asked = base.where(F.col("i") % every == 0)
+    sizes = asked.groupBy("l").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    asked = asked.join(sizes, "l").withColumn("q", F.pmod(F.xxhash64("i"), F.col("k")).cast("int")).drop("k")
+    # all rows of a label in parts, each with every block of the label's rows asked for
+    whole = base.groupBy("l").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).join(sizes, "l")
+    left = asked.join(whole.select("l", "parts"), "l").withColumn("p", F.explode(F.expr("sequence(0, parts - 1)"))).select("l", "q", "p", "i", "v")
+    right = base.join(whole, "l").withColumn("p", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.expr("sequence(0, k - 1)"))).select("l", "q", "p", "i", "v")
 
-    def run(batches):
+    def run(table):
         import pyarrow as pa
 
-        q = sent.value
-        x = _unit(np.array([v for *_, v in q], float)) if q else None
-        label = np.array([l for _, l, _ in q], object)
-        for batch in batches:
-            if q and len(batch):
-                cos = _unit(_matrix(batch.column("v"))) @ x.T
-                ok = (cos >= least) & (np.array(batch.column("l").to_pylist(), object)[:, None] == label[None, :])
-                _, k = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array([q[j][0] for j in k.tolist()], pa.int64())], names=["i"])
+        mine = np.array(table.column("asked").to_pylist(), bool)
+        if not mine.any():
+            return pa.table({"i": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        ids, x = table.column("i").to_numpy(), _unit(_matrix(table.column("v")))
+        ok = (x[mine] @ x[~mine].T >= least) & (ids[mine][:, None] != ids[~mine][None, :])
+        return pa.table({"i": pa.array(ids[mine]), "n": pa.array(ok.sum(axis=1), pa.int64())})
 
-    true = base.mapInArrow(run, "i long").groupBy("i").agg((F.count("*") - 1).alias("n"))
+    met = left.withColumn("asked", F.lit(True)).unionByName(right.withColumn("asked", F.lit(False)))
+    true = met.groupBy("l", "q", "p").applyInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
     both = answer.join(true, answer["vec_id"] == true["i"]).agg(F.sum("n_links"), F.sum("n")).first()
     return int(both[0] or 0), int(both[1] or 0)
 

@@ -418,7 +418,7 @@ def test_embeddings(spark):
     ids, label = [r[0] for r in rows[:402]], np.array([r[2] for r in rows[:402]])
     link = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(link, False)
-    for shard in (8000, 60):
+    for shard in (8000, 60, 25):
         got = {r["vec_id"]: r for r in neardup.near_duplicates(df, shard=shard).collect()}
         assert len(got) == len(rows)
         found = sum(got[i]["n_links"] for i in ids)
