@@ -3,8 +3,10 @@
 For every prefix of a byte string there is exactly one token that the merge procedure ends
 it with. ``PrefixTable`` stores that token for each prefix: a token ``t`` ends prefix ``i``
 if the token stored for the prefix before ``t`` and ``t`` itself stay apart under the
-merges. Appending bytes extends the table without touching earlier entries, and an edit
-re-encodes only from the edited piece on. Walking the table backwards gives the encoding.
+merges. Appending bytes extends the table without touching earlier entries, and an edit works
+out entries until they are again what they were. Walking the table backwards gives the
+encoding. That prefixes have one valid last token, and how two tokens are tested, is a
+published algorithm for byte-pair encodings.
 """
 
 from __future__ import annotations
@@ -113,10 +115,19 @@ class PrefixTable:
         if text:
             self.append(text)
 
+    def _token(self, end: int) -> int:
+        """The last token of the prefix that ends at ``end``; shorter prefixes are known."""
+        v, text, last = self.vocabulary, self.text, self.last
+        for begin in range(max(0, end - v.longest), end):
+            token = v.ranks.get(text[begin:end])
+            if token is not None and (v.split(token) is not None if begin == 0 else v.apart(last[begin - 1], token)):
+                return token
+        raise ValueError("the vocabulary lacks a single byte")
+
     def append(self, more: bytes) -> None:
         v, start = self.vocabulary, len(self.text)
         text = self.text = self.text + more
-        ranks, last, apart = v.ranks, self.last, v.apart
+        ranks, last, apart = v.ranks, self.last, v.apart  # the loop of ``_token``, for speed
         for end in range(start + 1, len(text) + 1):
             for begin in range(max(0, end - v.longest), end):
                 token = ranks.get(text[begin:end])
@@ -135,11 +146,22 @@ class PrefixTable:
     def truncate(self, size: int) -> None:
         self.text, self.last = self.text[:size], self.last[:size]
 
-    def edit(self, begin: int, end: int, new: bytes) -> None:
-        """Replace text[begin:end]; entries before ``begin`` stay as they are."""
-        rest = new + self.text[end:]
-        self.truncate(begin)
-        self.append(rest)
+    def edit(self, begin: int, end: int, new: bytes) -> int:
+        """Replace text[begin:end]; returns how many entries were worked out. Entries before
+        ``begin`` stay. An entry hangs on the bytes and entries of the longest token before it
+        alone, so once that many in a row are as they were, all further ones are too."""
+        old, rest = self.last, len(self.text) - end
+        self.text = self.text[:begin] + new + self.text[end:]
+        self.last, same = old[:begin], 0
+        for at in range(begin + 1, len(self.text) + 1):
+            self.last.append(self._token(at))
+            before = at - len(self.text) + len(old)  # the same bytes' place before the edit
+            same = same + 1 if at > begin + len(new) and self.last[-1] == old[before - 1] else 0
+            # the first prefixes have fewer bytes before them than later ones
+            if same >= self.vocabulary.longest and min(at, before) > self.vocabulary.longest:
+                self.last += old[before:]
+                return at - begin
+        return rest + len(new)
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.text)
@@ -157,7 +179,8 @@ class Codec(dict):
 
         super().__init__()
         self.vocabulary = Vocabulary(load_ranks(path))
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.find = self.pattern.findall
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
@@ -181,22 +204,28 @@ class Codec(dict):
 class Document:
     """An encoded text that stays encoded under appends and edits.
 
-    Pieces are cut by the pattern; an edit cuts anew from the piece before the edited one
-    and stops as soon as a new piece boundary falls on an old one past the edit with the
-    same rest, so ids far from the edit are reused.
+    Pieces are cut by the pattern; an edit cuts anew from a piece before the edited one and
+    stops where a new boundary behind the edit falls on an old one: the pattern looks ahead
+    only, so from there on pieces are as they were. Pieces are encoded when first asked for
+    and keep their ids.
     """
 
     def __init__(self, codec: Codec, text: str = ""):
         self.codec, self.text = codec, text
         self.pieces = codec.find(text)
+        self.packed: list[bytes | None] = [None] * len(self.pieces)
 
     def ids(self) -> list[int]:
-        return unpack(b"".join(map(self.codec.__getitem__, self.pieces))).tolist()
+        for k, x in enumerate(self.packed):
+            if x is None:
+                self.packed[k] = self.codec[self.pieces[k]]
+        return unpack(b"".join(self.packed)).tolist()
 
     def append(self, more: str) -> None:
         self.edit(len(self.text), len(self.text), more)
 
-    def edit(self, begin: int, end: int, new: str) -> None:
+    def edit(self, begin: int, end: int, new: str) -> int:
+        """Replace text[begin:end]; returns how many pieces were cut anew."""
         at, keep = 0, 0
         while keep < len(self.pieces) and at + len(self.pieces[keep]) < begin:
             at += len(self.pieces[keep])
@@ -204,8 +233,23 @@ class Document:
         while keep and (at > max(0, begin - 2) or self.pieces[keep - 1].isspace()):
             keep -= 1
             at -= len(self.pieces[keep])
+        old, shift = at, len(new) - (end - begin)
         self.text = self.text[:begin] + new + self.text[end:]
-        self.pieces[keep:] = self.codec.find(self.text[at:])
+        cut, resume = [], keep
+        for m in self.codec.pattern.finditer(self.text, at):
+            cut.append(m[0])
+            if m.end() < begin + len(new):
+                continue
+            while resume < len(self.pieces) and old + shift < m.end():
+                old += len(self.pieces[resume])
+                resume += 1
+            if old + shift == m.end() and old >= end:
+                break
+        else:
+            resume = len(self.pieces)
+        self.pieces[keep:resume] = cut
+        self.packed[keep:resume] = [None] * len(cut)
+        return len(cut)
 
 
 def unpack(packed: bytes) -> array:
@@ -234,8 +278,8 @@ def encode_documents(
 
     ``vocabulary`` names a rank file of ``public_tokenizers`` or is a path. Returns the id,
     n_tokens, ids_sha256 and decoded_sha256, and the ids as array<int> with ``with_ids``. A
-    null text is an empty one: no tokens, digests of nothing. Equal rows give equal rows.
-    Only the two columns are read, so other columns may have any names. A row is worked on
+    null text is an empty one: no tokens, digests of nothing. Equal rows give equal rows, and
+    an empty table none. Only the two columns are read, so other columns may have any names. A row is worked on
     alone, which bounds memory by the longest text.
     """
     ship_package(docs.sparkSession)

@@ -62,6 +62,40 @@ def test_bpe_equals_library_and_edits():
     assert t.tokens() == bpe.PrefixTable(c.vocabulary, t.text).tokens()
 
 
+def test_bpe_edits_stop_where_nothing_changes():
+    import tiktoken
+
+    c = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.vocabulary.ranks, special_tokens={})
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(3000))
+    d = bpe.Document(c, text)
+    d.ids()
+    for a, b, new in ((7000, 7003, "xyz"), (9000, 9000, "\n\n  "), (0, 1, ""), (len(text) - 9, len(text) - 9, "!")):
+        assert d.edit(a, b, new) < 12
+        assert d.ids() == enc.encode_ordinary(d.text)
+    raw = "".join(r.choice("etaoinshr") for _ in range(3000)).encode()
+    t = bpe.PrefixTable(c.vocabulary, raw)
+    for a, b, new in ((1000, 1002, b"zq"), (1500, 1500, b"the"), (20, 40, b"")):
+        worked = t.edit(a, b, new)
+        assert worked <= 6 * c.vocabulary.longest and t.last == bpe.PrefixTable(c.vocabulary, t.text).last
+    for _ in range(60):
+        a = r.randrange(len(t.text))
+        t.edit(a, a + r.randint(0, 5), bytes(r.choice(b"etaoinshr") for _ in range(r.randint(0, 4))))
+    assert t.last == bpe.PrefixTable(c.vocabulary, t.text).last
+
+
+def test_bpe_query_against_library(spark, edge, docs):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    for df in (edge, docs):
+        texts = {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+        for r in bpe.encode_documents(df).collect():
+            ids = enc.encode_ordinary(texts[r["doc_id"]])
+            assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_bpe_query(edge, docs):
     got = {r["doc_id"]: r for r in bpe.encode_documents(edge).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 0 and got[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
