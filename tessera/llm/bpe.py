@@ -24,6 +24,9 @@ from tessera.runtime import read_table, ship_package
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encoded pieces that a Python worker keeps; pieces beyond it are encoded again when met.
 CACHE_PIECES = 250_000
+#: Prefixes of pieces whose last token a worker keeps, and the longest of them in bytes.
+PREFIXES = 300_000
+PREFIX_BYTES = 9
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +41,8 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: last tokens of prefixes met so far: they hang on the prefix alone, so pieces share them
+        self.prefixes: dict[bytes, int] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
 
@@ -128,7 +133,13 @@ class PrefixTable:
         v, start = self.vocabulary, len(self.text)
         text = self.text = self.text + more
         ranks, last, apart = v.ranks, self.last, v.apart  # the loop of ``_token``, for speed
+        prefixes, room = v.prefixes, PREFIXES - len(v.prefixes)
         for end in range(start + 1, len(text) + 1):
+            if end <= PREFIX_BYTES:
+                token = prefixes.get(text[:end])
+                if token is not None:
+                    last.append(token)
+                    continue
             for begin in range(max(0, end - v.longest), end):
                 token = ranks.get(text[begin:end])
                 if token is None:
@@ -142,6 +153,9 @@ class PrefixTable:
                     break
             else:
                 raise ValueError("the vocabulary lacks a single byte")
+            if end <= PREFIX_BYTES and room > 0:
+                prefixes[text[:end]] = last[-1]
+                room -= 1
 
     def truncate(self, size: int) -> None:
         self.text, self.last = self.text[:size], self.last[:size]
