@@ -126,7 +126,9 @@ class CodeGraph:
         t, edges, entities = self.target(text), self.store.edges(), self.store.entities()
         near = context.neighbourhood(edges, entities, t["id"], t["kind"], container_path=t["path"] if t["kind"] == "file" else None)
         shown = f"{t['path']}::{t['qualified_name']}" + (f"#{t['entity_ordinal']}" if t["entity_ordinal"] else "")
-        units = near.join(entities, "id").withColumn("of", F.lit(shown)).withColumn("self", X.entity_display("path", "qualified_name", "entity_ordinal"))
+        # a neighbour without an entity is shown by its id rather than dropped
+        units = near.join(entities, "id", "left").withColumn("qualified_name", F.coalesce("qualified_name", F.translate("id", "\x1f", " "))).withColumn("path", F.coalesce("path", F.lit("(not in the index)")))
+        units = units.withColumn("kind", F.coalesce("kind", F.lit("entity"))).withColumn("entity_ordinal", F.coalesce("entity_ordinal", F.lit(0))).withColumn("of", F.lit(shown)).withColumn("self", X.entity_display("path", "qualified_name", "entity_ordinal"))
         units = units.withColumn("text", context.render_unit())
         incident = graph.adjacency(edges, t["id"], "in", None, V.RELATIONS_PER_ENTITY).unionByName(graph.adjacency(edges, t["id"], "out", None, V.RELATIONS_PER_ENTITY))
         lists = self.store.ambiguous_candidates(incident).select("relation_id", F.transform("candidates", lambda c: X.entity_display(c["path"], c["qualified_name"], c["entity_ordinal"])).alias("candidates"))

@@ -108,8 +108,9 @@ def is_test_name(path) -> Column:
 
 
 def classify(path, text) -> Column:
-    """vendored, generated, test or source: the first rule that holds."""
-    head = ascii_lower(F.substring(_c(text), 1, V.HEADER_BYTES))
+    """vendored, generated, test or source: the first rule that holds. The header is so many
+    bytes, not characters."""
+    head = ascii_lower(F.substring(F.encode(_c(text), "UTF-8"), 1, V.HEADER_BYTES).cast("string"))
     return (
         F.when(has_component(path, V.VENDORED_DIRS), "vendored")
         .when(has_component(path, V.GENERATED_DIRS), "generated")
@@ -261,6 +262,14 @@ def meets_floor(n, d, floor) -> Column:
     return _c(n).cast("decimal(30,0)") * 10000 >= _c(floor).cast("decimal(30,0)") * _c(d).cast("decimal(30,0)")
 
 
+def fingerprint(x) -> Column:
+    """``fnv1a64`` of a column, in Arrow batches; for short texts such as names."""
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    of = pandas_udf(lambda values: values.map(lambda v: None if v is None else fnv1a64(v)), "string", PandasUDFType.SCALAR)
+    return of(_c(x))
+
+
 def fnv1a64(text: str) -> str:
     """Fingerprint on the driver or in a Python stage: ``fnv1a64:`` and 16 hex digits."""
     h = 0xCBF29CE484222325

@@ -56,7 +56,7 @@ def module_entities(located: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = m.select("path", "kind", "qn").unionByName(p.select("path", "kind", "qn"))
     ent = both.select("path", "kind", X.kind_ord("kind").alias("kind_ord"), F.col("qn").alias("qualified_name"), F.lit(0).alias("entity_ordinal"), F.element_at(F.split("qn", "::"), -1).alias("name"),
                       *[F.lit(None).cast(t).alias(c) for c, t in _rest(V.ENTITY_SCHEMA, 6)])
-    ent = ent.withColumn("is_test", F.lit(False)).withColumn("structural_fingerprint", F.xxhash64("qualified_name").cast("string"))
+    ent = ent.withColumn("is_test", F.lit(False)).withColumn("structural_fingerprint", X.fingerprint("qualified_name"))
     names = [x.split()[0] for x in V.ENTITY_SCHEMA.split(", ")]
     edge = m.select(F.lit("contains").alias("kind"), F.col("path").alias("source_path"), F.lit("file").alias("source_kind"), X.file_name("path").alias("source_qualified_name"), F.col("path").alias("target_path"), F.col("qn").alias("q"))
     pk = p.select(F.col("package"), F.col("path").alias("pp"))

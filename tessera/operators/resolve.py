@@ -23,12 +23,19 @@ def decide(claims: DataFrame) -> DataFrame:
     return c.select("rel", F.when(F.col("n") == 1, one).otherwise("ambiguous").alias("state"), F.when(F.col("n") == 1, F.col("only")).alias("target"), "strength", "n")
 
 
+def _front(entities: DataFrame) -> DataFrame:
+    """(name, n, only, space): how many entities of its lowest space bear a name, and the first. Without
+    a column ``space`` (symbols before namespaces) all are of one."""
+    e = entities if "space" in entities.columns else entities.withColumn("space", F.lit(0))
+    counted = e.groupBy("name", "space").agg(F.count("*").alias("n"), F.min("id").alias("only"))
+    return counted.groupBy("name").agg(F.min(F.struct("space", "n", "only")).alias("b")).select("name", "b.n", "b.only", "b.space")
+
+
 def unique_name(refs: DataFrame, entities: DataFrame) -> DataFrame:
     """(rel, name) against all entities by name: one is an inferred target, several are an
     ambiguity, none is unresolved with a reason from the spelling. Names are counted before
     they are joined, so a name that thousands of entities bear costs one row."""
-    named = entities.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("only"))
-    out = refs.join(named, "name", "left")
+    out = refs.join(_front(entities), "name", "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("rel", "name", F.when(n == 1, "inferred").when(n > 1, "ambiguous").otherwise("unresolved").alias("state"), F.when(n == 1, F.col("only")).alias("target"),
                       F.when(n == 0, X.unresolved_reason("name")).alias("reason"), n.alias("candidates"))
@@ -37,10 +44,12 @@ def unique_name(refs: DataFrame, entities: DataFrame) -> DataFrame:
 def candidate_lists(refs: DataFrame, entities: DataFrame, most: int = V.MAX_CANDIDATES) -> DataFrame:
     """(rel, id, ordinal) of ambiguous references: the first ``most`` candidates by identity. The
     list of a name is cut once, before the references meet it."""
-    w = Window.partitionBy("name").orderBy("id")
-    short = entities.select("name", "id").withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= most)
-    many = entities.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    return refs.join(short.join(many, "name", "left_semi"), "name").select("rel", "id", "ordinal")
+    many = _front(entities).where("n > 1").select("name", F.col("space").alias("_space"))
+    own = entities.join(many, "name")
+    if "space" in entities.columns:
+        own = own.where("space = _space")
+    short = own.select("name", "id").withColumn("ordinal", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("ordinal") <= most)
+    return refs.join(short, "name").select("rel", "id", "ordinal")
 
 
 def _module_items(imports: DataFrame, files: DataFrame, symbols: DataFrame, name: str = "item", module: str = "module") -> DataFrame:
@@ -166,25 +175,30 @@ def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> t
     r4b = plain.where("kind <> 'imports'").join(visible.select("rel").distinct(), "rel", "left_anti").join(anywhere, (F.col("source_path") == F.col("p")) & (F.col("target_name") == F.col("nm"))).select("rel", "id", "s_kind")
     claims.append(r4.unionByName(r4b).withColumn("ev", F.lit("same_file")))
 
-    # R5: the only bearer of the name in all files, and only as a claim
-    names = symbols.where(~X.is_binding("kind")).select(F.col("name").alias("nm"), "id", F.col("kind").alias("s_kind"))
-    r5 = plain.where("kind <> 'imports'").join(names, F.col("target_name") == F.col("nm")).select("rel", "id", "s_kind")
-    claims.append(r5.withColumn("ev", F.lit("unique_name")))
-
-    # the first rung with a candidate wins; symbols come before namespaces, inside a rung
-    every = None
-    for k, c in enumerate(claims):
-        c = c.select("rel", "id", "s_kind", "ev", F.lit(k).alias("rung"))
-        every = c if every is None else every.unionByName(c)
-    every = every.withColumn("space", X.is_namespace("s_kind").cast("int"))
-    low = every.groupBy("rel").agg(F.min(F.struct("rung", "space")).alias("b"))
-    best = every.join(low, "rel").where((F.col("rung") == F.col("b.rung")) & (F.col("space") == F.col("b.space"))).groupBy("rel", "id").agg(F.min("ev").alias("ev"))
-    best = checkpoint(best)
-    verdict = best.groupBy("rel").agg(F.count("*").alias("n"), F.min("id").alias("one"), F.min("ev").alias("ev"))
+    # symbols come before namespaces in the evidence of one class; the strongest class decides
+    every = claims[0].select("rel", "id", "s_kind", "ev")
+    for c in claims[1:]:
+        every = every.unionByName(c.select("rel", "id", "s_kind", "ev"))
+    every = every.groupBy("rel", "id", F.col("ev").alias("ev_class")).agg(F.min(X.is_namespace("s_kind").cast("int")).alias("space"))
+    low = every.groupBy("rel", "ev_class").agg(F.min("space").alias("low"))
+    every = checkpoint(every.join(low, ["rel", "ev_class"]).where("space = low").select("rel", "id", "ev_class"))
+    verdict = checkpoint(decide(every))
+
+    # R5: the only bearer of the name in all files, and only as a claim; asked where nothing decided
+    names = symbols.where(~X.is_binding("kind")).select("name", "id", X.is_namespace("kind").cast("int").alias("space"))
+    open_ = plain.where("kind <> 'imports'").join(verdict.select("rel"), "rel", "left_anti").select("rel", F.col("target_name").alias("name"))
+    by_name = checkpoint(unique_name(open_, names).where("state <> 'unresolved'"))
+    top = every.withColumn("w", X.strength("ev_class")).join(verdict.where("state = 'ambiguous'").select("rel", F.col("strength").alias("w")), ["rel", "w"])
+    short = top.select("rel", "id").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("rel").orderBy("id"))).where(F.col("ordinal") <= V.MAX_CANDIDATES)
+    short = short.unionByName(candidate_lists(by_name.where("state = 'ambiguous'").select("rel", "name"), names))
+    of = F.lit(None).cast("string")
+    for name, n in V.STRENGTH.items():
+        of = F.when((F.col("strength") == n) & (n > 0), name).otherwise(of)
+    verdict = verdict.select("rel", "state", F.col("target").alias("one"), of.alias("ev")).unionByName(by_name.select("rel", "state", F.col("target").alias("one"), F.lit("unique_name").alias("ev")))
     refused = fixed[0].unionByName(fixed[1]).unionByName(fixed[2]).groupBy("rel").agg(F.min("why").alias("why"))
     got = todo.join(verdict, "rel", "left").join(refused, "rel", "left").join(ent.select(F.col("id").alias("one"), F.col("path").alias("e_path"), F.col("kind").alias("e_kind"), F.col("qualified_name").alias("e_qname"), F.col("entity_ordinal").alias("e_ord")), "one", "left")
-    hit = (F.col("n") == 1) & F.col("e_path").isNotNull()
-    state = F.when(F.col("why").isNotNull(), "unresolved").when(hit & (F.col("ev") == "unique_name"), "inferred").when(hit, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
+    lost = F.col("state").isin("resolved", "inferred") & F.col("e_path").isNull()
+    state = F.when(F.col("why").isNotNull() | F.col("state").isNull() | lost, "unresolved").otherwise(F.col("state"))
     spelling = F.when(F.col("ev_scope").isNotNull(), F.concat_ws("::", "ev_scope", "target_name")).when(F.col("ev_module").isNotNull() & (F.col("kind") == "imports"), F.concat_ws("::", "ev_module", "target_name")).otherwise(F.col("target_name"))
     reason = F.when(F.col("why").isNotNull(), F.col("why")).when(F.col("ev_class") == "receiver_type", "no_candidate").otherwise(X.unresolved_reason(spelling))
     out = got.withColumn("_state", state)
@@ -198,8 +212,7 @@ def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> t
         .withColumn("resolution_state", F.col("_state")).withColumn("reason", F.col("_reason"))
     )
     rest = rel.where(~todo_state).select(*relations.columns)
-    w = Window.partitionBy("rel").orderBy("id")
-    many = best.join(verdict.where("n > 1").select("rel"), "rel", "left_semi").join(refused, "rel", "left_anti").withColumn("ordinal", F.row_number().over(w) - 1).where(F.col("ordinal") < V.MAX_CANDIDATES)
+    many = short.join(refused, "rel", "left_anti").withColumn("ordinal", F.col("ordinal") - 1)
     cand = many.join(ent.select("id", "path", "kind", "qualified_name", "entity_ordinal"), "id").select(F.col("rel").alias("relation_id"), F.col("ordinal").cast("int").alias("ordinal"), "path", "kind", "qualified_name", "entity_ordinal")
     return rest.unionByName(out.select(*relations.columns)), cand
 

@@ -32,6 +32,28 @@ def in_file(entities: DataFrame, path: str, limit: int = V.ENTITIES_PER_FILE) ->
     return entities.where(F.col("path") == path).orderBy("kind", "qualified_name", "entity_ordinal").limit(limit)
 
 
+def by_name(entities: DataFrame, name: str) -> DataFrame:
+    return entities.where(F.col("name") == name)
+
+
+def paths(entities: DataFrame) -> DataFrame:
+    return entities.select("path").distinct()
+
+
+def in_state(edges: DataFrame, *states: str, state: str = "state") -> DataFrame:
+    return edges.where(F.col(state).isin(*states))
+
+
+def candidates_of(candidates: DataFrame, relation: int, most: int = V.MAX_CANDIDATES) -> DataFrame:
+    """The ordered candidates of one relation."""
+    return candidates.where(F.col("relation_id") == relation).orderBy("ordinal").limit(most)
+
+
+def replace_candidates(base: DataFrame, new: DataFrame, touched: DataFrame) -> DataFrame:
+    """Candidate lists of the relations in ``touched`` (relation_id) are replaced by ``new``."""
+    return base.join(touched.select("relation_id").distinct(), "relation_id", "left_anti").select(*base.columns).unionByName(new.select(*base.columns))
+
+
 def keyset_page(rows: DataFrame, key: list[str], after: tuple, limit: int) -> DataFrame:
     """The rows after a cursor. The leading ``>=`` reaches the scan; the struct does not."""
     cursor = F.struct(*[F.lit(v).alias(k) for k, v in zip(key, after)])
@@ -63,12 +85,16 @@ def without_scope(rows: DataFrame, column: str, removals: list[tuple[str, str]])
     return rows.where(~scope(column, removals))
 
 
-def demote(edges: DataFrame, removed: DataFrame) -> DataFrame:
-    """Edges into removed entities (id) become unresolved without a target."""
+def demote(edges: DataFrame, removed: DataFrame, dst: str = "dst", state: str = "state", clear: tuple = (), reason: str | None = None) -> DataFrame:
+    """Edges into removed entities (id) become unresolved without a target; ``clear`` names more
+    columns that are emptied, and ``reason`` the one that says no_candidate."""
     gone = removed.select(F.col("id").alias("_gone")).distinct()
-    out = edges.join(gone, edges["dst"] == gone["_gone"], "left")
+    out = edges.join(gone, edges[dst] == gone["_gone"], "left")
     hit = F.col("_gone").isNotNull()
-    return out.withColumn("dst", F.when(~hit, F.col("dst"))).withColumn("state", F.when(hit, F.lit("unresolved")).otherwise(F.col("state"))).drop("_gone")
+    new = {c: F.when(~hit, F.col(c)) for c in (dst, *clear)} | {state: F.when(hit, F.lit("unresolved")).otherwise(F.col(state))}
+    if reason:
+        new[reason] = F.when(hit, F.lit("no_candidate")).otherwise(F.col(reason))
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in edges.columns])
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -164,7 +190,7 @@ class GraphStore:
         n = self.generation + 1
         order = {"entity": ["path", "kind", "qualified_name"], "relation": ["source_path", "kind"], "candidate": ["relation_id", "ordinal"]}
         for name, df in tables.items():
-            df.sortWithinPartitions(*order[name]).write.mode("overwrite").parquet(os.path.join(self.root, f"gen={n}", name))
+            df.repartitionByRange(order[name][0]).sortWithinPartitions(*order[name]).write.mode("overwrite").parquet(os.path.join(self.root, f"gen={n}", name))
         self._swap(self.manifest | (more or {}) | {"generation": n})
 
     def apply_update(self, entities: DataFrame | None = None, relations: DataFrame | None = None, candidates: DataFrame | None = None,
@@ -179,24 +205,17 @@ class GraphStore:
         base_e, base_r, base_c = (self.table(k) for k in self.TABLES)
         if removals:
             kept = without_scope(base_e, "path", list(removals))
-            ekey = [F.col(k).alias(f"_{k}") for k in V.ENTITY_KEY]
             added = entities.select(*V.ENTITY_KEY)
-            gone = base_e.where(scope("path", list(removals))).select(*V.ENTITY_KEY).join(added, list(V.ENTITY_KEY), "left_anti").select(*ekey)
+            gone = base_e.where(scope("path", list(removals))).select(*V.ENTITY_KEY).join(added, list(V.ENTITY_KEY), "left_anti").select(X.entity_id().alias("id"))
             base_r = without_scope(base_r, "source_path", list(removals))
-            cond = (F.col("target_path") == F.col("_path")) & (F.col("target_kind") == F.col("_kind")) & (F.col("target_qualified_name") == F.col("_qualified_name")) & (F.col("target_ordinal") == F.col("_entity_ordinal"))
-            hit = F.col("_path").isNotNull()
-            joined = base_r.join(gone, cond, "left")
-            for c in ("target_path", "target_kind", "target_qualified_name", "target_ordinal", "ev_class", "ev_module", "ev_alias", "ev_receiver", "ev_scope", "ev_binder", "basis"):
-                joined = joined.withColumn(c, F.when(~hit, F.col(c)))
-            joined = joined.withColumn("resolution_state", F.when(hit, "unresolved").otherwise(F.col("resolution_state"))).withColumn("reason", F.when(hit, "no_candidate").otherwise(F.col("reason")))
-            base_r, base_e = joined.select(*base_r.columns), kept
+            aimed = base_r.withColumn("_dst", X.entity_id("target_path", "target_kind", "target_qualified_name", "target_ordinal"))
+            cleared = ("target_path", "target_kind", "target_qualified_name", "target_ordinal", "ev_class", "ev_module", "ev_alias", "ev_receiver", "ev_scope", "ev_binder", "basis")
+            base_r, base_e = demote(aimed, gone, "_dst", "resolution_state", cleared, "reason").select(*base_r.columns), kept
         new_e = upsert(base_e, entities, list(V.ENTITY_KEY))
         new_r = upsert(base_r, relations, list(V.RELATION_KEY))
         touched = relations.select(relation_id().alias("relation_id")).distinct()
         alive = new_r.where("resolution_state = 'ambiguous'").select(relation_id().alias("relation_id")).distinct()
-        new_c = base_c.join(touched, "relation_id", "left_anti")
-        if candidates is not None:
-            new_c = new_c.unionByName(candidates.select(*base_c.columns))
+        new_c = replace_candidates(base_c, candidates if candidates is not None else empty["candidate"], touched)
         new_c = new_c.join(alive, "relation_id", "left_semi")
         self._refuse_dangling(relations, new_e)
         self._write({"entity": new_e, "relation": new_r, "candidate": new_c})
