@@ -161,12 +161,12 @@ def entities_by_name(spark, sf_dir):
 
 @query(f"WITH {T.ENTITIES_SQL} SELECT DISTINCT path FROM entities")
 def indexed_paths(spark, sf_dir):
-    return T.entities(spark, sf_dir).select("path").distinct()
+    return store.paths(T.entities(spark, sf_dir))
 
 
 @query(f"WITH {T.EDGES_SQL} SELECT src, dst, kind FROM edges WHERE state = 'inferred'")
 def relations_in_state(spark, sf_dir):
-    return T.edges(spark, sf_dir).where(F.col("state") == "inferred").select("src", "dst", "kind")
+    return store.in_state(T.edges(spark, sf_dir), "inferred").select("src", "dst", "kind")
 
 
 @query(f"WITH {T.EDGES_SQL} SELECT src, kind, target_name FROM edges WHERE dst = '{NODE}' ORDER BY kind, source_path, start_byte, src, dst LIMIT 20")
@@ -187,9 +187,12 @@ def token_cost(spark, sf_dir):
 _DOC_PATH = "CASE doc_id % 6 WHEN 0 THEN 'src/vendor/a.rs' WHEN 1 THEN 'gen/x.py' WHEN 2 THEN 'lib/tests/b.go' WHEN 3 THEN 'lib/test_c.py' WHEN 4 THEN 'web/app.min.js' ELSE 'src/main.rs' END"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_DOC_PATH} AS path, translate(substr(text, 1, 2048), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS head FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'vendored' WHEN doc_id % 6 = 1 OR doc_id % 6 = 4 THEN 'generated'
-WHEN regexp_matches(head, 'code generated|automatically generated|auto-generated|autogenerated|do not edit|do not modify|generated by|generated file|this file is generated|generated from|@generated') THEN 'generated'
+# the header's 2048 bytes are looked through as 4096 hex digits, at even places only
+_MARKS = "|".join(m.encode().hex().upper() for m in V.GENERATED_MARKERS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, substr(hex(encode(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))), 1, {2 * V.HEADER_BYTES}) AS head FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'vendored' WHEN doc_id % 6 = 1 OR doc_id % 6 = 4 THEN 'generated' WHEN regexp_matches(head, '^(?:..)*?(?:{_MARKS})') THEN 'generated'
 WHEN doc_id % 6 IN (2, 3) THEN 'test' ELSE 'source' END AS classification FROM d""")
 def classify_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").withColumn("path", F.expr(_DOC_PATH))
@@ -463,7 +466,10 @@ def debounce_sessions(spark, sf_dir):
     return debounce.sessions(read_table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS path FROM events WHERE event_id % 3 = 0) SELECT path, CASE WHEN path % 5 = 0 THEN 'outside' WHEN path % 5 = 1 THEN 'ignored' ELSE 'reindex' END AS plan FROM e""")
+@query("""WITH e AS (SELECT DISTINCT user_id AS path FROM events ) SELECT path, CASE WHEN path % 5 = 0 THEN 'outside' WHEN path % 5 = 1 THEN 'ignored' ELSE 'reindex' END AS plan FROM e""")
 def coalesce_batch(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("path"))
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("path"))
     return debounce.coalesce(e, outside=F.col("path") % 5 == 0, indexable=F.col("path") % 5 != 1)
+
+
+from tessera.plans import engine  # noqa: E402,F401  registers the rest
