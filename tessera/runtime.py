@@ -131,15 +131,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value, out: str, buckets: int = 512) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value, out: str, buckets: int = 512, deal=None) -> DataFrame:
     """Exclusive running sum of ``value`` inside each group, without one task per group.
 
-    Rows of a group are dealt over ``buckets`` by a hash of the order columns; the bounded
+    Rows of a group are dealt over ``buckets`` by a hash of the order columns (or by ``deal``, a
+    number from 0 to ``buckets``); the bounded
     table of bucket sums (groups x buckets rows) is scanned by a window, and the rows are
     numbered inside their bucket. The order inside a group is (bucket, order columns): fixed
     by the rows alone, so reruns agree. Null group values form one group of their own.
     """
-    keyed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_v", value.cast("long"))
+    keyed = df.withColumn("_b", (F.pmod(F.xxhash64(*order), F.lit(buckets)) if deal is None else deal).cast("int")).withColumn("_v", value.cast("long"))
     sums = keyed.groupBy(*group, "_b").agg(F.sum("_v").alias("_s"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_gb"),
