@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import pipeline
+from tessera.llm import pipeline, sharding
 from tessera.llm.bpe import op7_byte_bpe
 from tessera.llm.fertility import op2_quality_rules
 from tessera.llm.jaccard import op8_jaccard_join
@@ -27,4 +27,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {"op5_jump_sharding": sharding.ORACLE_SQL}
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL
