@@ -51,11 +51,14 @@ class CodeGraph:
         self.store.apply_update(entities, relations)
         return self.resolve()
 
-    def resolve(self, paths: list[str] | None = None, full: bool = True) -> dict:
-        """Decide pending relations (all others but structural ones too, if ``full``)."""
+    def resolve(self, names: DataFrame | None = None, full: bool = True) -> dict:
+        """Decide pending relations (all others but structural ones too, if ``full``); with ``names``
+        those that a change of entities of these names can touch."""
         e, r = self.store.table("entity"), self.store.table("relation")
-        done, candidates = resolve.resolve(e, r, force=full)
+        only = None if names is None else checkpoint(resolve.affected(r, names))
+        done, candidates = resolve.resolve(e, r, force=full, only=only)
         done = checkpoint(done)
+        self.decided = done.where(~X.is_structural("kind")).count()
         new = checkpoint(resolve.changed(r, done))
         if new.isEmpty():
             return self.status()
@@ -73,12 +76,35 @@ class CodeGraph:
                 base = folder.removesuffix("src").rstrip("/")
                 known = self.store.table("entity").where("kind = 'file'").select("path").where(X.is_within("path", F.lit(base)) if base else F.lit(True))
                 wide |= {r["path"] for r in known.where(modules.needs_roots(F.col("path"))).collect()}
+        wide |= self._holders(sorted(wide))
         found, self.issues = self._discover(sorted(wide))
         indexed = self.store.table("entity").where("kind = 'file'").select("path")
         layout = indexed.unionByName(found.select("path")).distinct().where(~F.col("path").isin(*[p for p in wide if p not in self.walked] or [""]))
         entities, relations, _ = extract.extract(found, checkpoint(layout.where("path LIKE '%.rs'")))
-        self.store.apply_update(checkpoint(entities), checkpoint(relations), removals=[("file", p) for p in sorted(wide)])
-        return self.resolve(full=True)
+        # names that were or are declared in these files: no other relation can be decided otherwise
+        scope = sorted(wide)
+        old = self.store.table("entity").where(F.col("path").isin(*scope)).select("name")
+        entities, relations = checkpoint(entities), checkpoint(relations)
+        names = checkpoint(old.unionByName(entities.select("name")).distinct())
+        moved = checkpoint(resolve.displaced(self.store.table("relation"), scope))
+        self.store.apply_update(entities, relations.unionByName(moved.select(*relations.columns)), removals=[("file", p) for p in scope])
+        return self.resolve(names=names)
+
+    def _holders(self, changed: list[str]) -> set[str]:
+        """Files that hold the package entities of files that came or went, before and after: a
+        package's edges to its modules are theirs."""
+        indexed = self.store.table("entity").where("kind = 'file'").select("path").where("path LIKE '%.rs'").distinct()
+        mine = self.spark.createDataFrame([(p,) for p in changed if p.endswith(".rs")], "path string")
+        there = mine.where(F.col("path").isin(*[p for p in changed if os.path.isfile(os.path.join(self.root, p))] or [""]))
+        came, went = there.join(indexed, "path", "left_anti"), mine.join(there, "path", "left_anti").join(indexed, "path", "left_semi")
+        moved = checkpoint(came.unionByName(went))
+        if moved.isEmpty():
+            return set()
+        layouts = [checkpoint(modules.locate(x)) for x in (indexed, indexed.join(went, "path", "left_anti").unionByName(came))]
+        both = layouts[0].unionByName(layouts[1])
+        touched = both.join(moved, "path", "left_semi").select("package").distinct()
+        holders = [x.join(touched, "package", "left_semi").groupBy("package").agg(F.min("path").alias("p")) for x in layouts]
+        return {r["p"] for r in holders[0].unionByName(holders[1]).collect()}
 
     def remove(self, path: str, subtree: bool = False) -> int:
         return self.store.remove(path, subtree)

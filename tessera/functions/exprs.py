@@ -208,9 +208,13 @@ def entity_display(path, qualified, ordinal) -> Column:
     return F.concat(_c(path), F.lit("::"), _c(qualified), F.when(_c(ordinal) > 0, F.concat(F.lit("#"), _c(ordinal).cast("string"))).otherwise(F.lit("")))
 
 
+#: What stands between the parts of an id.
+ID_MARK = "\x1f"
+
+
 def entity_id(path="path", kind="kind", qualified="qualified_name", ordinal="entity_ordinal") -> Column:
     """One string per identity, in the order (path, kind by rank, qualified name, ordinal)."""
-    sep = F.lit("\x1f")
+    sep = F.lit(ID_MARK)
     return F.when(_c(path).isNotNull(), F.concat(_c(path), sep, F.lpad(kind_ord(kind).cast("string"), 2, "0"), sep, _c(qualified), sep, F.lpad(_c(ordinal).cast("string"), 6, "0")))
 
 

@@ -54,8 +54,10 @@ def extract(discovered: DataFrame, all_paths: DataFrame | None = None) -> tuple[
     located = modules.locate((all_paths or discovered.where("language = 'rust'").select("path")).distinct())
     me, mr = modules.module_entities(located)
     own = discovered.select("path").distinct()
+    # edges of the files read, into modules of any file of the layout
+    every = me
     me = me.join(own, "path", "left_semi")
-    mr = mr.join(own.withColumnRenamed("path", "source_path"), "source_path", "left_semi").join(me.select(F.col("path").alias("target_path"), F.col("qualified_name").alias("target_qualified_name")).distinct(), ["target_path", "target_qualified_name"], "left_semi")
+    mr = mr.join(own.withColumnRenamed("path", "source_path"), "source_path", "left_semi").join(every.select(F.col("path").alias("target_path"), F.col("qualified_name").alias("target_qualified_name")).distinct(), ["target_path", "target_qualified_name"], "left_semi")
     columns, rcolumns = _names(V.ENTITY_SCHEMA), _names(V.RELATION_SCHEMA)
     return e.unionByName(me.select(*columns)), r.unionByName(mr.select(*rcolumns)), q
 

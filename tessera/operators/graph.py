@@ -18,6 +18,22 @@ from tessera.runtime import checkpoint
 
 #: A frontier of at most so many nodes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_NODES = 100_000
+#: A frontier of at most so many nodes goes into the plan as literals, which reach the scan.
+LITERAL_NODES = 500
+
+
+def touches(edges: DataFrame, near: str, *nodes: str) -> F.Column:
+    """Edges whose end ``near`` (src or dst) is among ``nodes``. Where the edges have the columns
+    that ids are made of, those are asked too: unlike ids they are stored, so that the filter
+    reaches the scan and, as files are ranges of paths, skips most of them."""
+    same = F.col(near) == nodes[0] if len(nodes) == 1 else F.col(near).isin(*nodes)
+    column = {"src": "source_path", "dst": "target_path"}[near]
+    name = {"src": "source_qualified_name", "dst": "target_qualified_name"}[near]
+    parts = [n.split(X.ID_MARK) for n in nodes]
+    if {column, name} <= set(edges.columns) and all(len(p) == 4 for p in parts):
+        some = lambda c, values: F.col(c) == values[0] if len(values) == 1 else F.col(c).isin(*values)
+        same = some(column, sorted({p[0] for p in parts})) & some(name, sorted({p[2] for p in parts})) & same
+    return same
 
 
 def followable(edges: DataFrame, follow_inferred: bool = True) -> DataFrame:
@@ -27,7 +43,7 @@ def followable(edges: DataFrame, follow_inferred: bool = True) -> DataFrame:
 def one_hop(edges: DataFrame, node: str, direction: str = "out", kind: str | None = None, limit: int | None = None) -> DataFrame:
     """Proven callees (out) or callers (in) of a node: (id), ordered."""
     near, far = ("src", "dst") if direction == "out" else ("dst", "src")
-    rows = edges.where((F.col(near) == node) & X.is_followable("state", "dst"))
+    rows = edges.where(touches(edges, near, node) & X.is_followable("state", "dst"))
     rows = rows.where(F.col("kind") == kind) if kind else rows
     out = rows.select(F.col(far).alias("id")).distinct().orderBy("id")
     return out.limit(limit) if limit else out
@@ -36,7 +52,7 @@ def one_hop(edges: DataFrame, node: str, direction: str = "out", kind: str | Non
 def adjacency(edges: DataFrame, node: str, direction: str = "out", kind: str | None = None, limit: int | None = None) -> DataFrame:
     """All edges of a node in the order of its index; the limit is a top-k, not a sort of all."""
     near, second = ("src", "target_name") if direction == "out" else ("dst", "source_path")
-    rows = edges.where(F.col(near) == node)
+    rows = edges.where(touches(edges, near, node))
     rows = rows.where(F.col("kind") == kind) if kind else rows
     rows = rows.orderBy("kind", second, "start_byte", "src", "dst")
     return rows.limit(limit) if limit else rows
@@ -105,8 +121,13 @@ def walk(edges: DataFrame, target: str, depth: int, direction: str = "in", kind:
         if not size:
             break
         out.visited += size
-        side = frontier.withColumnRenamed("id", "_node")
-        hits = pool.join(F.broadcast(side) if size <= BROADCAST_NODES else side, F.col(near) == F.col("_node"))
+        if d == 0:  # a literal reaches the scan, below any aggregation that makes the edges
+            hits = pool.where(touches(pool, near, target)).withColumn("_node", F.lit(target))
+        elif size <= LITERAL_NODES:
+            hits = pool.where(touches(pool, near, *[r["id"] for r in frontier.collect()])).withColumn("_node", F.col(near))
+        else:
+            side = frontier.withColumnRenamed("id", "_node")
+            hits = pool.join(F.broadcast(side) if size <= BROADCAST_NODES else side, F.col(near) == F.col("_node"))
         if max_edges is not None:
             w = Window.partitionBy("_node").orderBy(*order)
             hits = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_edges)
@@ -154,7 +175,7 @@ def callees(edges: DataFrame, target: str, **options) -> Walk:
 def membership(edges: DataFrame, entities: DataFrame, container: str, container_path: str | None = None) -> DataFrame:
     """(id, state): stored structural edges out of a container, and for a file the entities of
     its path that none of them reaches, which are inferred members."""
-    stored = edges.where((F.col("src") == container) & X.is_structural("kind") & X.is_followable("state", "dst")).groupBy(F.col("dst").alias("id")).agg(F.max("state").alias("state"))
+    stored = edges.where(touches(edges, "src", container) & X.is_structural("kind") & X.is_followable("state", "dst")).groupBy(F.col("dst").alias("id")).agg(F.max("state").alias("state"))
     if container_path is None:
         return stored
     own = entities.where((F.col("path") == container_path) & (F.col("id") != container)).select("id").join(stored, "id", "left_anti")
@@ -195,7 +216,7 @@ def chain(edges: DataFrame, start: str, depth: int = V.CHAIN_DEPTH, follow_infer
     spark = edges.sparkSession
     steps, node, seen, note = [], start, {start}, ""
     for d in range(1, depth + 1):
-        got = strongest_incoming(edges.where(F.col("dst") == node), follow_inferred).first()
+        got = strongest_incoming(edges.where(touches(edges, "dst", node)), follow_inferred).first()
         if got is None:
             note = f"nothing in the index points at {node}; the chain ends here"
             break

@@ -86,8 +86,37 @@ def _locate_module(rows: DataFrame, column: str) -> DataFrame:
     return outer.unionByName(child)
 
 
-def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(relations with their decisions, candidate rows).
+def written_class() -> F.Column:
+    """The evidence class that a relation was written with, before any decision."""
+    return (F.when(F.col("ev_receiver").isNotNull(), "receiver_type").when(F.col("ev_scope").isNotNull(), "qualified_name_in_scope")
+            .when((F.col("kind") == "imports") & F.col("ev_module").isNotNull(), "import_binding"))
+
+
+def affected(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """(rel) of the relations that a change of entities with these ``names`` (name) can decide
+    otherwise: those that spell one of them, those that spell what their file imports one as,
+    and those pending. Every rung but the local ones compares a spelling with a name, so the
+    rest stays as it is."""
+    r = relations.withColumn("rel", F.xxhash64(*V.RELATION_KEY)).where(~X.is_structural("kind"))
+    n = names.select(F.col("name").alias("_name")).distinct()
+    spelled = r.join(n, r["target_name"] == n["_name"], "left_semi").select("rel")
+    imports = r.where("kind = 'imports' AND ev_alias IS NOT NULL")
+    local = imports.join(n, imports["ev_alias"] == n["_name"], "left_semi").select("source_path", "target_name").distinct()
+    return spelled.unionByName(r.join(local, ["source_path", "target_name"], "left_semi").select("rel")).unionByName(r.where("resolution_state = 'pending'").select("rel")).distinct()
+
+
+def displaced(relations: DataFrame, paths: list[str]) -> DataFrame:
+    """Relations of other files into ``paths``, pending again with the evidence that they have: what
+    is removed there would leave them without."""
+    out = relations.where(F.col("target_path").isin(*paths) & ~F.col("source_path").isin(*paths) & ~X.is_structural("kind"))
+    for c, kind in (("target_path", "string"), ("target_kind", "string"), ("target_qualified_name", "string"), ("target_ordinal", "int")):
+        out = out.withColumn(c, F.lit(None).cast(kind))
+    return out.withColumn("resolution_state", F.lit("pending")).withColumn("ev_class", written_class()).withColumn("basis", F.lit(None).cast("string"))
+
+
+def resolve(entities: DataFrame, relations: DataFrame, force: bool = False, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(relations with their decisions, candidate rows). With ``only`` (rel) no other relations are
+    decided, or come back.
 
     ``relations`` are pending (with ``force``, all but structural ones are decided anew); decided
     rows and structural ones come back as they are. The ladder: local bindings and globs are
@@ -102,7 +131,8 @@ def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> t
     if force:
         todo_state = ~X.is_structural("kind")
     rel = relations.withColumn("rel", F.xxhash64(*V.RELATION_KEY))
-    todo = checkpoint(rel.where(todo_state).dropDuplicates(list(V.RELATION_KEY)))
+    asked = rel if only is None else rel.join(only.select("rel").distinct(), "rel", "left_semi")
+    todo = checkpoint(asked.where(todo_state).dropDuplicates(list(V.RELATION_KEY)))
     own = files.select(F.col("path").alias("source_path"), F.col("package").alias("own_package"), F.col("module").alias("own_module"))
     todo = todo.join(own, "source_path", "left")
     claims: list[DataFrame] = []
@@ -134,8 +164,9 @@ def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> t
     # a declaration at file level is shadowed by an import of the name, one in a scope is not
     shadow = scopes.where("owner <> ''").alias("a").join(inner.alias("b"), (F.col("a.source_path") == F.col("b.p")) & (F.col("a.owner") == F.col("b.owner")) & (F.col("a.target_name") == F.col("b.nm"))).select("rel").distinct()
 
-    receiver = left.where("ev_class = 'receiver_type'")
-    path = left.where("ev_class = 'qualified_name_in_scope' AND ev_scope IS NOT NULL")
+    # by what was written, as the class of a decided relation is the one that decided it
+    receiver = left.where("ev_receiver IS NOT NULL")
+    path = left.where("ev_receiver IS NULL AND ev_scope IS NOT NULL")
     plain = left.join(receiver.select("rel").unionByName(path.select("rel")), "rel", "left_anti")
 
     # R1: import bindings (an imports row decides itself)
@@ -207,11 +238,11 @@ def resolve(entities: DataFrame, relations: DataFrame, force: bool = False) -> t
         out = out.withColumn(c, F.when(decided, F.col(e)))
     out = (
         out.withColumn("_reason", F.when(F.col("_state") == "unresolved", reason))
-        .withColumn("ev_class", F.when(decided, F.col("ev")).otherwise(F.col("ev_class")))
+        .withColumn("ev_class", F.when(decided, F.col("ev")).when(F.col("resolution_state").isin("resolved", "inferred"), written_class()).otherwise(F.col("ev_class")))
         .withColumn("basis", F.when(F.col("_state") == "inferred", F.concat(F.lit("`"), "target_name", F.lit("` is declared once in the index"))).otherwise(F.col("basis")))
         .withColumn("resolution_state", F.col("_state")).withColumn("reason", F.col("_reason"))
     )
-    rest = rel.where(~todo_state).select(*relations.columns)
+    rest = asked.where(~todo_state).select(*relations.columns)
     many = short.join(refused, "rel", "left_anti").withColumn("ordinal", F.col("ordinal") - 1)
     cand = many.join(ent.select("id", "path", "kind", "qualified_name", "entity_ordinal"), "id").select(F.col("rel").alias("relation_id"), F.col("ordinal").cast("int").alias("ordinal"), "path", "kind", "qualified_name", "entity_ordinal")
     return rest.unionByName(out.select(*relations.columns)), cand

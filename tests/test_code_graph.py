@@ -66,6 +66,50 @@ def test_queries(graph):
     assert steps.count() >= 1 and note
 
 
+def test_lookups_reach_the_scan(graph):
+    from tessera.operators import graph as G
+    from tessera.operators import store as S
+
+    node = graph.target("settle")["id"]
+    edges, entities = graph.store.edges(), graph.store.entities()
+    for df, column in ((G.adjacency(edges, node, "in"), "target_path"), (G.one_hop(edges, node, "out"), "source_path"), (G.strongest_incoming(edges.where(G.touches(edges, "dst", node))), "target_path"),
+                       (S.point(entities, "src/ui.rs", "trait", "Shape"), "path"), (S.in_file(entities, "src/ui.rs"), "path")):
+        pushed = [line for line in graph.store.query_plan(df).split("\n") if "PushedFilters" in line]
+        assert pushed and any(f"EqualTo({column}," in line for line in pushed), pushed
+    # what the stored columns say is what the id says
+    assert {r["src"] for r in G.adjacency(edges, node, "in").collect()} == {r["src"] for r in edges.where(edges["dst"] == node).collect()}
+
+
+def test_neighbours_without_an_entity_stay_in_a_pack(graph):
+    store = graph.store
+    whole = store.entities
+    shown = graph.peek("settle", 4000).render()
+    try:
+        store.entities = lambda: whole().where("qualified_name <> 'process'")
+        less = graph.peek("settle", 4000).render()
+    finally:
+        del store.entities
+    assert "process" in shown and "(not in the index)" not in shown
+    assert "process" in less and "(not in the index)" in less
+
+
+def test_module_fingerprints_are_of_the_common_kind(graph):
+    from tessera.functions.exprs import fnv1a64
+
+    rows = graph.store.entities().where("kind IN ('module', 'package')").collect()
+    assert rows and all(r["structural_fingerprint"].startswith("fnv1a64:") for r in rows)
+    assert all(r["structural_fingerprint"] == fnv1a64(r["qualified_name"]) for r in rows if r["kind"] == "package")
+    assert fnv1a64("") == "fnv1a64:cbf29ce484222325" and fnv1a64("a") == "fnv1a64:af63dc4c8601ec8c"
+
+
+def test_header_is_cut_by_bytes(spark):
+    from tessera.functions import exprs as X
+
+    rows = [(1, "é" * 1000 + " do not edit"), (2, "é" * 1030 + " do not edit"), (3, "x" * 2000 + " Code Generated")]
+    got = {r["i"]: r["c"] for r in spark.createDataFrame(rows, "i int, t string").selectExpr("i", "'src/main.rs' AS p", "t").select("i", X.classify("p", "t").alias("c")).collect()}
+    assert got == {1: "generated", 2: "source", 3: "generated"}
+
+
 def test_pack_budgets(graph):
     full = graph.peek("process", 100_000)
     assert full.status == "complete" and full.spent <= 100_000
@@ -95,6 +139,27 @@ def test_refresh_equals_rebuild(graph, spark, tmp_path_factory):
     assert graph.store.table("entity").where("path = 'src/ui.rs'").count() == 0
 
 
+def test_scoped_refresh_decides_the_names_of_the_change(graph, spark, tmp_path_factory):
+    """Rename what other files call, take a file away and bring another: as a rebuild, and no
+    relation outside the names of the change is decided."""
+    total = graph.store.table("relation").where("kind NOT IN ('defines', 'contains', 'owns')").count()
+    model = os.path.join(graph.root, "src/model.rs")
+    text = open(model).read()
+    for new, changed in ((text.replace("render", "paint"), ["src/model.rs"]), (text, ["src/model.rs", "src/late.rs"])):
+        with open(model, "w") as h:
+            h.write(new)
+        if "src/late.rs" in changed:
+            with open(os.path.join(graph.root, "src/late.rs"), "w") as h:
+                h.write("pub fn missing() {}\npub fn settle() {}\n")
+        graph.refresh(changed)
+        assert 0 < graph.decided < total
+        fresh = CodeGraph(spark, graph.root, str(tmp_path_factory.mktemp("index3") / "i"))
+        fresh.index()
+        for a, b in zip(graph.store.snapshot(), fresh.store.snapshot()):
+            assert a.exceptAll(b).collect() == [] and b.exceptAll(a).collect() == []
+    assert state(graph, "missing")["resolution_state"] == "inferred"
+
+
 def test_outline_details():
     ents, rels, quality = outline("src/ui.rs", FILES["src/ui.rs"])
     names = {(e["kind"], e["qualified_name"]) for e in ents}
