@@ -129,3 +129,60 @@ def test_stream_debounce_and_watch(spark, tmp_path):
     w = debounce.Watch(seen.append, lambda p: "reindex" if p != "q" else "ignored")
     w.start(changes, str(tmp_path / "c2"), once=True).awaitTermination(120)
     assert seen == [["p0", "p1", "p2"]] and w.skipped == {"ignored": 1} and w.superseded == 7
+
+
+@pytest.fixture(scope="module")
+def one_file(spark, tmp_path_factory):
+    """Driver tables of one nation: 300 methods ``run`` in a file, and 200 calls of that name in it."""
+    d = tmp_path_factory.mktemp("one_file")
+    for name, n, columns in (("nation", 1, "id AS n_nationkey"), ("customer", 20, "id AS c_custkey, 0L AS c_nationkey"), ("supplier", 300, "id AS s_suppkey, 0L AS s_nationkey"),
+                             ("orders", 1400, "id AS o_orderkey, id % 20 AS o_custkey")):
+        spark.range(n).selectExpr(*columns.split(", ")).write.parquet(str(d / f"{name}.parquet"))
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["doctor_after_resolution", "resolver_candidates", "resolver_ladder", "unresolved_reasons"])
+def test_names_of_a_file_are_counted_before_relations_meet_them(spark, one_file, monkeypatch, name):
+    import duckdb
+
+    from tessera import runtime
+    from tessera.operators import resolve
+    from tessera.plans import registry
+
+    stored = []
+
+    def watch(real):
+        def cut(df):
+            out = real(df)
+            stored.append(out.count())
+            return out
+
+        return cut
+
+    for cut in ("checkpoint", "spool"):
+        if hasattr(resolve, cut):
+            monkeypatch.setattr(resolve, cut, watch(getattr(runtime, cut)))
+    df = registry.QUERIES[name](spark, one_file)
+    got = sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
+    c = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "orders"):
+        c.execute(f"create view {t} as select * from '{one_file}/{t}.parquet/*.parquet'")
+    r = c.execute(registry.ORACLES[name])
+    columns = [x[0] for x in r.description]
+    assert got == sorted(map(repr, (tuple(x[columns.index(k)] for k in sorted(columns)) for x in r.fetchall())))
+    # every call of ``run`` with every ``run`` would be 60,000 rows
+    assert max(stored) <= 1400
+
+
+def test_candidates_carry_columns_of_their_relation(spark, one_file):
+    from tessera.operators import resolve
+    from tessera.plans import engine
+
+    entities, relations = engine._code(spark, one_file)
+    _, found = resolve.resolve(entities, relations.unionByName(relations), carry=("start_byte", "target_name"))
+    rows = found.collect()
+    ids = {r["relation_id"]: r["start_byte"] for r in relations.select(F.xxhash64(*V.RELATION_KEY).alias("relation_id"), "start_byte").collect()}
+    assert len(rows) == 200 * V.MAX_CANDIDATES and {r["target_name"] for r in rows} == {"run"}
+    assert all(ids[r["relation_id"]] == r["start_byte"] for r in rows)
+    names = [r["qualified_name"] for r in sorted(rows, key=lambda r: (r["relation_id"], r["ordinal"]))][:32]
+    assert names == sorted(f"s{k}.run" for k in range(300))[:32]
