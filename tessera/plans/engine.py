@@ -65,10 +65,8 @@ def resolver_ladder(spark, sf_dir):
 @query(f"""WITH {_CALLS_SQL}, a AS (SELECT k, p, n FROM j WHERE form = 2 AND coalesce(n, 0) <> 1), c AS (SELECT a.k, sup.sp AS path, 's' || sup.s || '.run' AS qualified_name FROM a JOIN sup ON sup.sp = a.p OR a.n IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path || chr(31) || '06' || chr(31) || qualified_name) - 1 AS ordinal FROM c) SELECT k, ordinal::BIGINT AS ordinal, path, qualified_name FROM r WHERE ordinal < {V.MAX_CANDIDATES}""")
 def resolver_candidates(spark, sf_dir):
-    entities, relations = _code(spark, sf_dir)
-    _, found = resolve.resolve(entities, relations)
-    keys = relations.select(store.relation_id().alias("relation_id"), F.col("start_byte").cast("long").alias("k"))
-    return _long(found.join(keys, "relation_id").select("k", "ordinal", "path", "qualified_name"), "ordinal")
+    _, found = resolve.resolve(*_code(spark, sf_dir), carry=("start_byte",))
+    return _long(found.select(F.col("start_byte").alias("k"), "ordinal", "path", "qualified_name"), "k", "ordinal")
 
 
 @query(f"""WITH {_CALLS_SQL}, d AS (SELECT CASE form WHEN 0 THEN 'resolved' WHEN 1 THEN CASE WHEN sp = p THEN 'resolved' ELSE 'inferred' END WHEN 2 THEN CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 OR {_SUP} > 1 THEN 'ambiguous' ELSE 'inferred' END
