@@ -243,7 +243,7 @@ def byte_slice(text, start, end) -> Column:
 def unresolved_reason(target) -> Column:
     """external for a spelling that names a place elsewhere, else no_candidate."""
     inner = F.regexp_replace(_c(target), r"^\.+|\.+$", "")
-    return F.when(F.contains(_c(target), F.lit("::")) | F.contains(_c(target), F.lit("/")) | F.contains(inner, F.lit(".")), "external").otherwise("no_candidate")
+    return F.when(F.contains(_c(target), F.lit("::")) | F.contains(_c(target), F.lit("/")) | (F.contains(_c(target), F.lit(".")) & F.contains(inner, F.lit("."))), "external").otherwise("no_candidate")
 
 
 def crate_relative(module, package=None) -> Column:

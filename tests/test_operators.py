@@ -186,3 +186,29 @@ def test_candidates_carry_columns_of_their_relation(spark, one_file):
     assert all(ids[r["relation_id"]] == r["start_byte"] for r in rows)
     names = [r["qualified_name"] for r in sorted(rows, key=lambda r: (r["relation_id"], r["ordinal"]))][:32]
     assert names == sorted(f"s{k}.run" for k in range(300))[:32]
+
+
+def test_decisions_store_each_relation_once_with_what_is_taken(spark, one_file, monkeypatch):
+    from tessera import runtime
+    from tessera.operators import resolve
+    from tessera.plans import engine, registry
+
+    stored = []
+
+    def watch(df):
+        out = runtime.spool(df)
+        stored.append((set(df.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(resolve, "spool", watch)
+    got = {r["reason"]: r["n"] for r in registry.QUERIES["unresolved_reasons"](spark, one_file).collect()}
+    assert got == {"local_binding": 200, "no_candidate": 200, "unsupported": 200}
+    tables = [(c, n) for c, n in stored if "rel" in c]
+    assert sum(n for _, n in tables) == 1400 and not any("start_byte" in c for c, _ in tables)
+    # a repeated key is one relation; rows decided before come back as they are, in the columns taken
+    entities, relations = engine._code(spark, one_file)
+    old = relations.where("start_byte % 7 = 5").withColumn("resolution_state", F.lit("unresolved")).withColumn("reason", F.lit("external"))
+    rows = resolve.decisions(entities, relations.where("start_byte % 7 <> 5").unionByName(relations.where("start_byte % 7 = 3")).unionByName(old), take=("resolution_state", "reason"))
+    assert rows.columns == ["resolution_state", "reason"]
+    got = {r["reason"]: r["count"] for r in rows.where("resolution_state = 'unresolved'").groupBy("reason").count().collect()}
+    assert got == {"local_binding": 200, "external": 200, "unsupported": 200}
